@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import op1_mixture
+from .simhash import op7_simhash
 
-QUERIES = {"op1_mixture": op1_mixture}
+QUERIES = {f.__name__: f for f in (op1_mixture, op7_simhash)}
 ORACLE: dict[str, str] = {}
