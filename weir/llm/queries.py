@@ -5,6 +5,7 @@ from __future__ import annotations
 from .mixing import op1_mixture
 from .quality import op5_quality
 from .simhash import op7_simhash
+from .tokens import op6_tokens
 
-QUERIES = {f.__name__: f for f in (op1_mixture, op5_quality, op7_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixture, op5_quality, op6_tokens, op7_simhash)}
 ORACLE: dict[str, str] = {}
