@@ -7,8 +7,8 @@ expectation-maximisation runs on those counts: it estimates, for the two
 hidden classes, how often each rule casts each vote, and the share of good
 documents. A document's posterior of being good replaces passing all rules.
 
-Defined cases: null or wordless text has zero counts; every rule but the
-length rule then abstains; repeated rows are judged alike; an empty table
+Defined cases: null or wordless text has zero counts, and only the length rule
+votes; repeated rows are judged alike; an empty table
 gives an empty result; columns named ``_q`` or ``_q_*`` are replaced.
 """
 
@@ -25,7 +25,7 @@ from .common import as_bytes, stage, text_batches
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
-#: Words of abuse: a document with several of them gets a bad vote.
+#: Words of abuse: a document with any of them gets a bad vote.
 INSULTS = frozenset(b"idiot stupid moron scum trash loser pathetic worthless disgusting clown".split())
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_shouts", "n_lines", "n_insults")
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -91,24 +91,26 @@ def _vote(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
 def votes(m: dict[str, np.ndarray]) -> list[np.ndarray]:
     """One array of votes for each rule."""
     n = m["n_words"]
-    some = n > 0
     per_word = lambda k: m[k] / np.maximum(n, 1)
     upper = m["n_upper"] / np.maximum(m["n_letters"], 1)
     lines = m["n_dup_lines"] / np.maximum(m["n_lines"], 1)
-    length = per_word("word_chars")
+    length, symbols, repeats, shouts = (per_word(k) for k in ("word_chars", "n_symbols", "n_repeat_words", "n_shouts"))
+    prose = (n >= 30) & (length >= 3) & (length <= 10) & (symbols < 0.05) & (shouts < 0.1) & (repeats < 0.3) & (lines < 0.3) & (upper < 0.2) & (m["n_insults"] == 0)
+    never = np.zeros(len(n), dtype=bool)
     return [
-        _vote(n >= 60, n < 50),
-        _vote(some & (per_word("n_symbols") < 0.02), per_word("n_symbols") > 0.15),
-        _vote(some & (length >= 3) & (length <= 10), some & ((length < 2.2) | (length > 16))),
-        _vote((m["n_lines"] > 1) & (lines < 0.05), (m["n_lines"] > 1) & (lines > 0.3)),
-        _vote(some & (per_word("n_repeat_words") < 0.1), some & (per_word("n_repeat_words") > 0.4)),
-        _vote((m["n_letters"] > 20) & (upper < 0.15), (m["n_letters"] > 20) & (upper > 0.5)),
-        _vote(some & (per_word("n_shouts") < 0.05), per_word("n_shouts") > 0.3),
-        _vote(np.zeros(len(n), dtype=bool), m["n_insults"] >= 3),
+        _vote(prose, never),
+        _vote(n >= 100, n < 20),
+        _vote(never, symbols > 0.25),
+        _vote(never, (n > 0) & ((length < 2.2) | (length > 16))),
+        _vote(never, (m["n_lines"] > 3) & (lines > 0.4)),
+        _vote(never, repeats > 0.45),
+        _vote(never, (m["n_letters"] > 20) & (upper > 0.5)),
+        _vote(never, shouts > 0.3),
+        _vote(never, m["n_insults"] > 0),
     ]
 
 
-N_RULES = 8
+N_RULES = 9
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, weight: float = 4.0) -> np.ndarray:
