@@ -9,7 +9,8 @@ from .mixing import op1_mixture
 from .quality import op5_quality
 from .rindex import op3_rindex
 from .simhash import op7_simhash
+from .tiling import op8_tiling
 from .tokens import op6_tokens
 
-QUERIES = {f.__name__: f for f in (op1_mixture, op2_crf, op3_rindex, op4_licences, op5_quality, op6_tokens, op7_simhash, op10_ctw)}
+QUERIES = {f.__name__: f for f in (op1_mixture, op2_crf, op3_rindex, op4_licences, op5_quality, op6_tokens, op7_simhash, op8_tiling, op10_ctw)}
 ORACLE: dict[str, str] = {}
