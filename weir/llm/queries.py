@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .compaction import op9_compaction
 from .crf import op2_crf
 from .ctw import op10_ctw
 from .licences import op4_licences
@@ -12,5 +13,5 @@ from .simhash import op7_simhash
 from .tiling import op8_tiling
 from .tokens import op6_tokens
 
-QUERIES = {f.__name__: f for f in (op1_mixture, op2_crf, op3_rindex, op4_licences, op5_quality, op6_tokens, op7_simhash, op8_tiling, op10_ctw)}
+QUERIES = {f.__name__: f for f in (op1_mixture, op2_crf, op3_rindex, op4_licences, op5_quality, op6_tokens, op7_simhash, op8_tiling, op9_compaction, op10_ctw)}
 ORACLE: dict[str, str] = {}
