@@ -1,4 +1,78 @@
-"""The corpus pipeline (written stage by stage)."""
+"""From raw documents to shards: quality rules, near-duplicates, decontamination, mixing, sharding.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+Each stage is (spark, docs, sf_dir) to a DataFrame and works on all rows that
+the stage before it kept; all but the last return the columns of ``documents``.
+SQL cannot express the stages' models, so the pipeline has no oracle and is
+tested stage by stage against the operators' brute-force versions.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weir.llm.common import scratch, stage
+from weir.llm.compaction import shard
+from weir.llm.mixing import mix
+from weir.llm.quality import filter_quality
+from weir.llm.simhash import near_duplicates
+from weir.llm.tiling import decontaminate
+
+#: The near-duplicate stage's shingles: five words, as against the three of the query's contract.
+SHINGLE = 5
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep what the weak-supervision posterior calls good."""
+    return filter_quality(docs)
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group; of rows with one id, the one with the smallest text."""
+    found = near_duplicates(docs.select("doc_id", "text"), width=SHINGLE)
+    first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
+    kept = docs.join(first, docs.doc_id.eqNullSafe(first.id), "left_semi")
+    if kept.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
+        return kept
+    # rows that share an id are told apart by their text; copies of a row are one document
+    least = kept.groupBy("doc_id").agg(F.min(F.struct(F.col("text"), F.struct(*docs.columns).alias("row"))).alias("least"))
+    return least.select("least.row.*")
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what covers a benchmark item."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that sources meet their target weights."""
+    return mix(docs).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write compacted shards; one row for each document written, with its shard and the manifest's version."""
+    return shard(docs, f"{scratch(spark)}/corpus-{uuid.uuid4().hex}").shards("doc_id", "source", "n_chars")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicate_groups),
+    ("decontamination", benchmark_decontamination),
+    ("mixture", source_mixture),
+    ("sharding", sharding),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+ORACLE_SQL = None
+QUERIES = {"pipeline": run}
+ORACLE: dict[str, str] = {}
