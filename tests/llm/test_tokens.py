@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from weir.llm.tokens import Encoder, frame, op6_tokens, pack, read_frame, unpack
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+ENCODER = Encoder(PATH)
 
 
 @settings(max_examples=60, deadline=None)
@@ -26,6 +27,12 @@ def test_packs_densely():
     assert len(pack(np.zeros(1280, dtype=np.uint64))[0]) == 10
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abcdé漢ñ'.,!?x9\n\n\t\u0301²", max_size=9), max_size=12).map(" ".join))
+def test_words_equal_whole(text):
+    assert ENCODER.byte_level and ENCODER.encode([text]) == ENCODER.plain([text])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=" \n\t  \x85\x1cab'sé1.!<|endoftext>", max_size=40))
 def test_chunks_equal_whole(text):

@@ -26,6 +26,9 @@ import os
 import re
 import struct
 import zlib
+from array import array
+from codecs import charmap_decode
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -51,51 +54,53 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint32)
-    ends = np.minimum(np.arange(n) // BLOCK * BLOCK + BLOCK, n)
-    best = np.full(n, ESCAPE, dtype=np.uint8)
-    top, at = int(ids.max()), np.arange(n)
-    # from the widest to the narrowest, so that what holds most ids wins
+    n_blocks = -(-n // BLOCK)
+    top = int(ids.max())
+    best = np.full((n_blocks, BLOCK), ESCAPE, dtype=np.uint8)
+    # from the widest to the narrowest, so that what holds most ids wins; past a block's end everything fits
     for s in range(15, -1, -1):
         if s == ESCAPE:
             continue
-        wide = ids >> np.uint64(WIDTHS[s]) != 0 if WIDTHS[s] else ids != 0
-        if top >> int(WIDTHS[s]):
-            stop = np.minimum.accumulate(np.where(wide, at, n)[::-1])[::-1]
-        else:
-            stop = np.full(n, n)
-        best[stop >= np.minimum(at + COUNTS[s], ends)] = s
+        if not top >> int(WIDTHS[s]):
+            best[:] = s
+            continue
+        count = int(min(COUNTS[s], BLOCK))
+        fits = np.ones((n_blocks, BLOCK + count - 1), dtype=bool)
+        inside = ids < np.uint64(1 << int(WIDTHS[s]))
+        if not inside.any():
+            continue
+        full = n // BLOCK
+        fits[:full, :BLOCK] = inside[: full * BLOCK].reshape(full, BLOCK)
+        fits[full:, : n - full * BLOCK] = inside[full * BLOCK :]
+        size = 1
+        while 2 * size <= count:
+            fits = fits[:, :-size] & fits[:, size:]
+            size *= 2
+        if count > size:
+            fits = fits[:, : BLOCK] & fits[:, count - size : count - size + BLOCK]
+        best[fits[:, :BLOCK]] = s
+    best = best.ravel()
     # all blocks step from word to word together
     pos = np.arange(0, n, BLOCK)
     stop = np.minimum(pos + BLOCK, n)
-    block = np.arange(len(pos))
-    starts, blocks = [], []
+    is_start = np.zeros(n, dtype=bool)
     while len(pos):
-        starts.append(pos)
-        blocks.append(block)
+        is_start[pos] = True
         pos = pos + COUNTS[best[pos]]
         on = pos < stop
-        pos, stop, block = pos[on], stop[on], block[on]
-    start = np.concatenate(starts)
-    order = np.argsort(start, kind="stable")
-    start, block = start[order], np.concatenate(blocks)[order]
+        pos, stop = pos[on], stop[on]
+    start = np.flatnonzero(is_start)
     sel = best[start]
-    size = np.where(sel == ESCAPE, 2, 1)
-    word_at = np.concatenate([[0], np.cumsum(size)])
+    held = np.diff(np.concatenate([start, [n]]))
+    place = np.arange(n) - np.repeat(start, held)
+    escaped = sel == ESCAPE
+    shift = place * np.repeat(np.where(escaped, 0, WIDTHS[sel]), held)
+    packed = np.bitwise_or.reduceat(ids << shift.astype(np.uint64), start)
+    word_at = np.concatenate([[0], np.cumsum(1 + escaped)])
     words = np.zeros(word_at[-1], dtype=np.uint64)
-    for s in np.unique(sel):
-        mine = np.flatnonzero(sel == s)
-        first, to = start[mine], word_at[mine]
-        words[to] = np.uint64(int(s) << 60)
-        if s == ESCAPE:
-            words[to + 1] = ids[first]
-            continue
-        if WIDTHS[s]:
-            for k in range(COUNTS[s]):
-                inside = first + k < ends[first]
-                if not inside.any():
-                    break
-                words[to[inside]] |= ids[first[inside] + k] << np.uint64(k * WIDTHS[s])
-    offsets = word_at[np.searchsorted(block, np.arange((n + BLOCK - 1) // BLOCK))]
+    words[word_at[:-1]] = sel.astype(np.uint64) << np.uint64(60) | np.where(escaped, np.uint64(0), packed)
+    words[word_at[:-1][escaped] + 1] = packed[escaped]
+    offsets = word_at[np.searchsorted(start, np.arange(0, n, BLOCK))]
     return words, np.concatenate([offsets, word_at[-1:]]).astype(np.uint32)
 
 
@@ -154,10 +159,21 @@ def read_frame(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(x) for x, z in zip(known, null)], lengths, unpack(words, offsets, n)
 
 
+#: The signs that stand for bytes in a byte-level vocabulary: printable bytes for themselves, the others for 256 and on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = dict(zip((b for b in range(256) if b not in set(_SHOWN)), range(256, 512)))
+_SIGNS = "".join(chr(_HIDDEN.get(b, b)) for b in range(256))
+
+
 class Encoder:
-    """Texts to the bytes of their ids (little-endian, four bytes each), by way of distinct chunks."""
+    """Texts to the bytes of their ids (little-endian, four bytes each), by way of distinct chunks.
 
-    KEEP = 300_000
+    A chunk of a space and letters is one pretoken, so the vocabulary's merges
+    are applied to it alone; marks after letters begin a pretoken of their own,
+    as do a line's end between other characters and the letters after it.
+    """
+
+    KEEP = 500_000
     LONGEST = 48
 
     def __init__(self, path: str, special_as_text: bool = True) -> None:
@@ -168,14 +184,52 @@ class Encoder:
         self.tokenizer.encode_special_tokens = special_as_text
         self.chunks: dict[str, bytes] = {}
         self.space_after_space = re.compile(r"\s ")
+        self.line_heads: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        tries = ["word", "Éöß", "漢字", "x"]
+        self.byte_level = special_as_text and [self._letters(" " + x) for x in tries] == self.plain([" " + x for x in tries])
 
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _letters(self, word: str) -> bytes:
+        signs = charmap_decode(word.encode(), "strict", _SIGNS)[0]
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
+
+    def _word(self, x: str, lead: str, known: dict[str, bytes]) -> bytes | None:
+        """The ids of letters with marks after them, if ``x`` is no more than that."""
+        if x in known:
+            return known[x]
+        core = x.rstrip(punctuation)
+        if not core.isalpha():
+            return None
+        ids = known.get(core)
+        if ids is None:
+            ids = known[core] = self._letters(lead + core)
+        tail = x[len(core) :]
+        if tail and tail not in self.marks:
+            self.marks[tail] = self.plain([tail])[0]
+        return ids + self.marks[tail] if tail else ids
+
+    def _new(self, order: list[str]) -> dict[str, bytes]:
+        """The ids of chunks that follow a space."""
+        if not self.byte_level:
+            return dict(zip(order, self.plain([" " + x for x in order])))
+        out, rest, line = {}, [], self.marks.setdefault("\n", self.plain(["\n"])[0])
+        for x in order:
+            first, *more = x.split("\n")
+            ids = [self._word(first, " ", self.chunks), *(self._word(y, "", self.line_heads) for y in more)]
+            if None in ids:
+                rest.append(x)
+            else:
+                out[x] = line.join(ids)
+        out.update(zip(rest, self.plain([" " + x for x in rest])))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.chunks) > self.KEEP:
-            self.chunks = {}
+            self.chunks, self.line_heads, self.marks = {}, {}, {}
         whole = [i for i, t in enumerate(texts) if self.space_after_space.search(t)]
         out: list[bytes] = [b""] * len(texts)
         for i, ids in zip(whole, self.plain([texts[i] for i in whole])):
@@ -186,21 +240,29 @@ class Encoder:
         new: set[str] = set()
         for p in parts.values():
             new.update(p)
-        order = sorted(new.difference(self.chunks))
         known = self.chunks
-        if order:
-            got = dict(zip(order, self.plain([" " + x for x in order])))
-            long = [x for x in order if len(x) > self.LONGEST]
-            known.update(got)
-        else:
-            long = []
+        got = self._new(sorted(new.difference(known)))
+        known.update(got)
         for i, p in parts.items():
-            out[i] = heads[i] + b"".join([known[x] for x in p[1:]])
-        for x in long:
-            del known[x]
+            del p[0]
+            out[i] = heads[i] + b"".join(map(known.__getitem__, p))
+        for x in got:
+            if len(x) > self.LONGEST or "\n" in x:
+                del known[x]
         return out
 
 
+_HELD: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder_for(path: str, special_as_text: bool) -> Encoder:
+    """The process's encoder: its chunks serve all tasks of a worker."""
+    key = path, special_as_text
+    if key not in _HELD:
+        _HELD[key] = Encoder(*key)
+    return _HELD[key]
+
+
 def write_tokens(docs: DataFrame, path: str, *, end_id: int = 0, special_as_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise ``docs`` into files of frames in ascending id order; the table of frames, written and read back."""
     spark = docs.sparkSession
@@ -210,7 +272,7 @@ def write_tokens(docs: DataFrame, path: str, *, end_id: int = 0, special_as_text
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder, part = Encoder(path, special_as_text), TaskContext.get().partitionId()
+        encoder, part = encoder_for(path, special_as_text), TaskContext.get().partitionId()
         first, no, ids, lengths, data, held = 0, 0, [], [], [], 0
 
         def flush():
