@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -18,19 +20,5 @@ def query(sql: str | None = None):
     return register
 
 
-@query(
-    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_quantity), 6) AS avg_qty, count(*) AS count_order
-       FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus"""
-)
-def q_pricing_summary(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_shipdate <= timestamp_ntz '1998-09-02 00:00:00'")
-    return li.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum("l_quantity").alias("sum_qty"),
-        F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"),
-        F.round(F.avg("l_quantity"), 6).alias("avg_qty"),
-        F.count("*").alias("count_order"),
-    )
+for _name in ("relational", "windows", "scalars", "series", "texts", "stored"):
+    importlib.import_module(f"{__package__}.q_{_name}")
