@@ -109,7 +109,7 @@ class Catalog:
     def add_column(self, name: str, column: str, kind: str) -> int:
         """Files keep their schema; the new column reads as null."""
         m = self._now(name)
-        schema = StructType.fromJson(m["schema"]).add(column, kind)
+        schema = StructType([*StructType.fromJson(m["schema"]), *StructType.fromDDL(f"`{column}` {kind}")])
         return self._commit(name, m["version"], schema, m["folder"], m["options"], None)
 
     def drop_column(self, name: str, column: str) -> int:
