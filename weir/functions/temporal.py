@@ -248,7 +248,7 @@ def time_of(x: Value) -> Column:
 
 def time_add(t: Column, n, part: str) -> Column:
     """Wraps at midnight."""
-    return F.pmod(t + lit(n) * F.lit(MICROS[part]), F.lit(MICROS["DAY"]))
+    return F.pmod(t + lit(n).cast("long") * F.lit(MICROS[part]), F.lit(MICROS["DAY"]))
 
 
 def time_trunc(t: Column, part: str) -> Column:
