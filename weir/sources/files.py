@@ -26,6 +26,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     if not max_bad_records and not jagged_rows:
         return reader.option("mode", "FAILFAST").schema(schema).csv(path)
     full = StructType([*schema.fields]).add(BAD, "string")
+    # every field is parsed whichever are asked for, so a bad line is one in every query
+    reader = reader.option("columnPruning", False)
     df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).schema(full).csv(path)
     # a row that lacks last columns only is jagged, not bad
     short = F.size(F.split(F.col(BAD), "\\Q" + delimiter + "\\E")) < len(schema.fields)
