@@ -95,7 +95,8 @@ def votes(m: dict[str, np.ndarray]) -> list[np.ndarray]:
     upper = m["n_upper"] / np.maximum(m["n_letters"], 1)
     lines = m["n_dup_lines"] / np.maximum(m["n_lines"], 1)
     length, symbols, repeats, shouts = (per_word(k) for k in ("word_chars", "n_symbols", "n_repeat_words", "n_shouts"))
-    prose = (n >= 30) & (length >= 3) & (length <= 10) & (symbols < 0.05) & (shouts < 0.1) & (repeats < 0.3) & (lines < 0.3) & (upper < 0.2) & (m["n_insults"] == 0)
+    # near where the other rules vote bad, so that little is left on which none votes
+    prose = (n >= 30) & (length >= 2.5) & (length <= 14) & (symbols < 0.2) & (shouts < 0.2) & (repeats < 0.45) & (lines <= 0.4) & (upper < 0.4) & (m["n_insults"] == 0)
     never = np.zeros(len(n), dtype=bool)
     return [
         _vote(prose, never),
