@@ -46,6 +46,8 @@ from .common import as_bytes, partitions, stage, text_batches
 WIDTH = 100
 GRAM = 32
 HOT = 20_000
+#: Indexes that a part's pieces are divided among, so that each is small.
+SUBS = 16
 SLICE = 6_000_000
 _POS = np.uint64((1 << 30) - 1)
 _FIRST = -(1 << 63)
@@ -257,6 +259,8 @@ def _groups(batches, key: int = 0):
 
 _PIECE = ("<u8", "<u8", "<i8", "<i8", "<u4", "<u2")
 _SPAN = ("<i8", "<i8", "<u4", "<u4")
+#: Of a piece asked for: its start and windows, the part and index it goes to, and whether its anchor is hot.
+_ASK = ("<u4", "<u2", "<i4", "u1", "u1")
 
 
 def _doc_part(d: np.ndarray, th: np.ndarray, parts: int) -> np.ndarray:
@@ -310,16 +314,16 @@ def _equal_rows(batches, parts: int, width: int, hot_at: int):
         ask = new & (kinds > 1)
         if ask.any():
             hot = (kinds[ask] > hot_at).astype("u1")
-            want = d[ask], th[ask], s[ask], n[ask], np.full(int(ask.sum()), part, dtype="<i4"), hot
+            sub = (a[ask] >> np.uint64(8) & np.uint64(SUBS - 1)).astype("u1")
+            want = d[ask], th[ask], s[ask], n[ask], np.full(int(ask.sum()), part, dtype="<i4"), sub, hot
             yield _rows("ask", [(p, _pack(*c)) for p, c in _by_part(_doc_part(*want[:2], parts), *want)])
 
 
 def _ask_rows(batches):
     """Asked-for pieces, gathered for each document: (d, th, packed)."""
     for _, rows in _groups(batches):
-        cols = [_unpack(r[1], "<i8", "<i8", "<u4", "<u2", "<i4", "u1") for r in rows]
-        d, th, s, n, part, hot = (np.concatenate([c[i] for c in cols]) for i in range(6))
-        yield _per_doc(d, th, s, n, part, hot)
+        cols = [_unpack(r[1], "<i8", "<i8", *_ASK) for r in rows]
+        yield _per_doc(*(np.concatenate([c[i] for c in cols]) for i in range(2 + len(_ASK))))
 
 
 def _per_doc(d: np.ndarray, th: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
@@ -334,19 +338,20 @@ def _per_doc(d: np.ndarray, th: np.ndarray, *columns: np.ndarray) -> pa.RecordBa
 def _cut_rows(batches, parts: int, width: int):
     """From documents and what is asked of them: the pieces' bytes, dealt by anchor, hot ones window by window."""
     for b in batches:
-        found: dict[int, list[tuple[int, int, int, bytes]]] = {}
+        found: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
         for d, th, text, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist()):
-            for s, n, part, hot in zip(*(x.tolist() for x in _unpack(blob, "<u4", "<u2", "<i4", "u1"))):
+            for s, n, part, sub, hot in zip(*(x.tolist() for x in _unpack(blob, *_ASK))):
                 if not hot:
-                    found.setdefault(part, []).append((d, th, s, text[s : s + n + width - 1]))
+                    found.setdefault(part, []).append((d, th, s, sub, text[s : s + n + width - 1]))
                     continue
                 for at in range(s, s + n):
                     own = text[at : at + width]
-                    found.setdefault(xxhash.xxh3_64_intdigest(own) % parts, []).append((d, th, at, own))
+                    to = xxhash.xxh3_64_intdigest(own)
+                    found.setdefault(to % parts, []).append((d, th, at, to >> 40 & SUBS - 1, own))
         rows = []
         for part, mine in found.items():
-            cols = [np.array([m[i] for m in mine], dtype=k) for i, k in enumerate(("<i8", "<i8", "<u4"))]
-            texts = [m[3] for m in mine]
+            cols = [np.array([m[i] for m in mine], dtype=k) for i, k in enumerate(("<i8", "<i8", "<u4", "u1"))]
+            texts = [m[4] for m in mine]
             head = _pack(*cols, np.array([len(t) for t in texts], dtype="<u4"))
             rows.append((part, len(head).to_bytes(8, "little") + head + _Z.compress(b"".join(texts))))
         if rows:
@@ -360,13 +365,18 @@ def _index_rows(batches, parts: int, width: int):
         for r in rows:
             blob = r[1]
             n = int.from_bytes(blob[:8], "little")
-            cols.append(_unpack(blob[8 : 8 + n], "<i8", "<i8", "<u4", "<u4"))
+            cols.append(_unpack(blob[8 : 8 + n], "<i8", "<i8", "<u4", "u1", "<u4"))
             data, at = _D.decompress(blob[8 + n :]), 0
-            for size in cols[-1][3].tolist():
+            for size in cols[-1][4].tolist():
                 strings.append(data[at : at + size])
                 at += size
-        d, th, s = (np.concatenate([c[i] for c in cols]) for i in range(3))
-        string, offset = repeats(strings, (d, th, s.astype(np.int64)), width)
+        d, th, s, sub = (np.concatenate([c[i] for c in cols]) for i in range(4))
+        # equal windows have one anchor and so one index; a part's indexes are built one at a time
+        late = []
+        for _, (mine,) in _by_part(sub, np.arange(len(sub))):
+            own, at = repeats([strings[i] for i in mine.tolist()], (d[mine], th[mine], s[mine].astype(np.int64)), width)
+            late.append((mine[own], at))
+        string, offset = (np.concatenate([x[i] for x in late]) for i in range(2))
         if not len(string):
             continue
         # successive windows of a piece make one span
@@ -398,13 +408,13 @@ def _span_rows(batches):
 def _deal(rows: DataFrame, kind: str) -> DataFrame:
     few = rows.where(F.col("kind") == kind).select("part", "data")
     few.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    return few.repartition(partitions(rows.sparkSession), "part").sortWithinPartitions("part")
+    return few.repartitionById(partitions(rows.sparkSession), F.col("part")).sortWithinPartitions("part")
 
 
 def spans(docs: DataFrame, *, width: int = WIDTH, hot_at: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents as (d, th, id, text), and (d, th, data): for each that has repeats the packed starts and ends of merged spans."""
     spark = docs.sparkSession
-    parts = 4 * partitions(spark)
+    parts = partitions(spark)
     tied = docs.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
     keyed = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("d"), (F.xxhash64(text_col) if tied else F.lit(0).cast("long")).alias("th"),
