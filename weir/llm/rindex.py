@@ -407,7 +407,6 @@ def _span_rows(batches):
 
 def _deal(rows: DataFrame, kind: str) -> DataFrame:
     few = rows.where(F.col("kind") == kind).select("part", "data")
-    few.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     return few.repartitionById(partitions(rows.sparkSession), F.col("part")).sortWithinPartitions("part")
 
 

@@ -300,7 +300,6 @@ def write_tokens(docs: DataFrame, path: str, *, end_id: int = 0, special_as_text
 
 def read_tokens(frames: DataFrame) -> DataFrame:
     """Rows (doc_id, part, start, n_tokens, ids_crc32, n_bytes) of a table of frames; start counts from the part's beginning."""
-    frames.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
 
     def run(batches):
         for b in batches:
