@@ -72,6 +72,12 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str, most: int = 100_000) -> DataFrame:
+    """A table of the driver's rows, broadcast while there are at most ``most`` of them and joined by a shuffle beyond."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= most else df
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): rows (node, root), root the smallest node.
 

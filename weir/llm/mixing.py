@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small, stage
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK_BITS = 8
@@ -67,7 +67,7 @@ def _cuts(rows: DataFrame, need: dict[int, float]) -> dict[int, int]:
     for level in range(2):
         if not open_:
             return cut
-        at = spark.createDataFrame([(s, p, n) for s, (p, n) in open_.items()], "_mix_sid int, _mix_prefix long, _mix_need double")
+        at = small(spark, [(s, p, n) for s, (p, n) in open_.items()], "_mix_sid int, _mix_prefix long, _mix_need double")
         inside = rows.join(at, "_mix_sid")
         if level:
             inside = inside.where(F.shiftright("_mix_key", shift) == F.col("_mix_prefix"))
@@ -80,7 +80,7 @@ def _cuts(rows: DataFrame, need: dict[int, float]) -> dict[int, int]:
         open_ = {r["_mix_sid"]: (r["bin"], r["_mix_need"] - (r["up"] - r["sz"])) for r in found}
     if not open_:
         return cut
-    at = spark.createDataFrame([(s, p) for s, (p, _) in open_.items()], "_mix_sid int, _mix_prefix long")
+    at = small(spark, [(s, p) for s, (p, _) in open_.items()], "_mix_sid int, _mix_prefix long")
     last = rows.join(at, "_mix_sid").where(F.shiftright("_mix_key", shift) == F.col("_mix_prefix"))
     keys: dict[int, list] = {}
     for r in last.groupBy("_mix_sid", "_mix_key").agg(F.sum("_mix_size").alias("sz")).collect():
@@ -104,10 +104,10 @@ def assign(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: fl
     found.sort(key=lambda x: (x[0] is None, (x[0] or "").encode()))
     goal = targets([n for _, n in found], weights, share, cap) if found and sum(n for _, n in found) else [0.0] * len(found)
     passes = [min(int(cap), int(t // n)) if n else 0 for t, (_, n) in zip(goal, found)]
-    known = spark.createDataFrame([(s, i, int(n), float(t), p) for i, ((s, n), t, p) in enumerate(zip(found, goal, passes))], "_mix_name string, _mix_sid int, _mix_source_size long, _mix_target double, _mix_passes int")
+    known = small(spark, [(s, i, int(n), float(t), p) for i, ((s, n), t, p) in enumerate(zip(found, goal, passes))], "_mix_name string, _mix_sid int, _mix_source_size long, _mix_target double, _mix_passes int")
     rows = narrow.join(known, F.col("_mix_source").eqNullSafe(F.col("_mix_name")))
     cuts = _cuts(rows.select("_mix_sid", "_mix_size", "_mix_key"), {i: t - p * n for i, ((_, n), t, p) in enumerate(zip(found, goal, passes))})
-    cut = spark.createDataFrame(list(cuts.items()), "_mix_sid int, _mix_cut long")
+    cut = small(spark, list(cuts.items()), "_mix_sid int, _mix_cut long")
     known = known.join(cut, "_mix_sid")
 
     # the units of the tree: the blocks that each copy of a source has
@@ -127,7 +127,7 @@ def assign(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: fl
     places: dict[tuple[int, int], dict[int, int]] = {}
     for s, c, b, k in table:
         places.setdefault((s, b), {})[c] = k
-    to = spark.createDataFrame([(s, b, [x[c] for c in range(len(x))]) for (s, b), x in places.items()], "_mix_sid int, _mix_block int, _mix_to array<int>")
+    to = small(spark, [(s, b, [x[c] for c in range(len(x))]) for (s, b), x in places.items()], "_mix_sid int, _mix_block int, _mix_to array<int>")
     out = sized.join(known, F.col(source_col).cast("string").eqNullSafe(F.col("_mix_name"))).withColumn("_mix_block", block)
     out = out.join(to, ["_mix_sid", "_mix_block"], "left")
     pair = F.transform(F.slice(F.coalesce("_mix_to", F.array().cast("array<int>")), F.lit(1), copies), lambda k, c: F.struct(c.cast("int").alias("copy"), k.alias("shard")))
