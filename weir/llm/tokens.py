@@ -23,7 +23,6 @@ table gives empty files and results.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from array import array
@@ -173,7 +172,7 @@ class Encoder:
     as do a line's end between other characters and the letters after it.
     """
 
-    KEEP = 500_000
+    KEEP = 900_000
     LONGEST = 48
 
     def __init__(self, path: str, special_as_text: bool = True) -> None:
@@ -183,7 +182,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.chunks: dict[str, bytes] = {}
-        self.space_after_space = re.compile(r"\s ")
+        #: Chunks that no space may follow: empty ones, and those that end with white space.
+        self.open: set[str] = set()
         self.line_heads: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         tries = ["word", "Éöß", "漢字", "x"]
@@ -229,26 +229,29 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.chunks) > self.KEEP:
-            self.chunks, self.line_heads, self.marks = {}, {}, {}
-        whole = [i for i, t in enumerate(texts) if self.space_after_space.search(t)]
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self.plain([texts[i] for i in whole])):
-            out[i] = ids
-        skip = set(whole)
-        parts = {i: t.split(" ") for i, t in enumerate(texts) if i not in skip}
-        heads = dict(zip(parts, self.plain([p[0] for p in parts.values()])))
+            self.chunks, self.line_heads, self.marks, self.open = {}, {}, {}, set()
+        known = self.chunks
+        parts = [t.split(" ") for t in texts]
+        heads = self.plain([p[0] for p in parts])
         new: set[str] = set()
-        for p in parts.values():
+        for p in parts:
             new.update(p)
-        known = self.chunks
-        got = self._new(sorted(new.difference(known)))
+        got = self._new(list(new.difference(known)))
         known.update(got)
-        for i, p in parts.items():
+        for x in got:
+            if not x or x[-1].isspace():
+                self.open.add(x)
+        out: list[bytes] = []
+        for t, p, head in zip(texts, parts, heads):
+            if not self.open.isdisjoint(p) and not self.open.isdisjoint(p[:-1]):
+                out.append(self.plain([t])[0])
+                continue
             del p[0]
-            out[i] = heads[i] + b"".join(map(known.__getitem__, p))
+            out.append(head + b"".join(map(known.__getitem__, p)))
         for x in got:
             if len(x) > self.LONGEST or "\n" in x:
                 del known[x]
+                self.open.discard(x)
         return out
 
 
