@@ -83,6 +83,11 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return np.where(small, _LGAMMA[np.clip(np.rint(2 * x - 1), 0, 199).astype(np.int64)], big)
 
 
+def _sliced(f, *arrays: np.ndarray, size: int = 200_000) -> np.ndarray:
+    """``f`` of arrays, slice by slice, so that its intermediates stay small."""
+    return np.concatenate([f(*(a[i : i + size] for a in arrays)) for i in range(0, max(len(arrays[0]), 1), size)])
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """ln of the KT probability of a sequence with these counts."""
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - math.log(math.pi)
@@ -97,28 +102,29 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """Distinct keys, ascending, and the sums of each of ``values`` over equal keys."""
     if not len(keys):
         return [keys, *values]
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    if not (keys[1:] >= keys[:-1]).all():
+        order = np.argsort(keys, kind="stable")
+        keys, values = keys[order], tuple(v[order] for v in values)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return [keys[first], *(np.add.reduceat(v[order], first) for v in values)]
+    return [keys[first], *(np.add.reduceat(v, first) for v in values)]
 
 
 class Model:
-    """For each bit and depth the nodes: sorted keys, and the probability of a one if no deeper context was seen."""
+    """Made of ascending grams and their counts. For each bit and depth the nodes: sorted keys, and the probability of a one if no deeper context was seen."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int) -> None:
         self.depth = depth
         self.nodes = [self._fit(keys, counts.astype(float), k) for k in range(8)]
-        self.known = np.sort(keys)
-        self.known_log = self._walk(self.known).astype(np.float32)
+        self.known = keys
+        self.known_log = _sliced(lambda g: self._walk(g).astype(np.float32), keys)
 
     def _fit(self, keys: np.ndarray, counts: np.ndarray, bit: int) -> list[tuple[np.ndarray, np.ndarray]]:
         node, n, n1 = _sums(node_keys(keys, self.depth, bit), counts, counts * (keys >> (7 - bit) & 1))
-        weighted = log_kt(n - n1, n1)
+        weighted = _sliced(lambda a, b: log_kt(a - b, b), n, n1)
         levels = [(node, (n1 + 0.5) / (n + 1.0), np.ones(len(node)))]
         for d in range(self.depth - 1, -1, -1):
             node, n, n1, inside = _sums(node & ((1 << 8 * d + bit) - 1), n, n1, weighted)
-            own = log_kt(n - n1, n1)
+            own = _sliced(lambda a, b: log_kt(a - b, b), n, n1)
             weighted = np.logaddexp(own, inside) - _LN2
             levels.append((node, (n1 + 0.5) / (n + 1.0), np.exp(own - _LN2 - weighted)))
         out, above, mass, rest = [], None, np.zeros(1), np.ones(1)
@@ -218,10 +224,11 @@ def fit(counts: DataFrame, *, depth: int = DEPTH, max_grams: int = MAX_GRAMS) ->
     while depth > 2 and found.count() > max_grams:
         depth -= 1
         found = stage(found.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
-    table = found.toArrow()
-    keys, n = (table.column(i).to_numpy() for i in range(2))
+    keys, n = (c.to_numpy() for c in found.toArrow().columns)
     order = np.argsort(keys)
-    return Model(keys[order], n[order], depth)
+    keys, n = keys[order], n[order]
+    del order
+    return Model(keys, n, depth)
 
 
 def score(docs: DataFrame, train: "F.Column", *, depth: int = DEPTH, max_grams: int = MAX_GRAMS, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
