@@ -17,11 +17,11 @@ from weir.llm.common import scratch, stage
 from weir.llm.compaction import shard
 from weir.llm.mixing import mix
 from weir.llm.quality import filter_quality
-from weir.llm.simhash import near_duplicates
+from weir.llm.shingles import COMPONENT, near_copies
 from weir.llm.tiling import decontaminate
 
-#: The near-duplicate stage's shingles: five words, as against the three of the query's contract.
-SHINGLE = 5
+#: The near-duplicate stage's shingles: five words, as against the three of the query's contract. What is this similar is a near copy.
+SHINGLE, SIMILAR = 5, 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group; of rows with one id, the one with the smallest text."""
-    found = near_duplicates(docs.select("doc_id", "text"), width=SHINGLE)
-    first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    kept = docs.join(first, docs.doc_id.eqNullSafe(first.id), "left_semi")
+    found = stage(near_copies(docs, width=SHINGLE, least=SIMILAR), "copies")
+    first = found.groupBy(COMPONENT).agg(F.min("doc_id").alias("id")).select("id").distinct()
+    kept = found.select(*docs.columns).join(first, found.doc_id.eqNullSafe(first.id), "left_semi")
     if kept.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
         return kept
     # rows that share an id are told apart by their text; copies of a row are one document
