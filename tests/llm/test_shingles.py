@@ -46,3 +46,10 @@ def test_stage_drops_near_copies(spark):
     rows = [(k, " ".join(words), "en", "a", 1) for k, words in enumerate((base, near, far))]
     got = corpus_pipeline.near_duplicate_groups(spark, spark.createDataFrame(rows, COLUMNS), "").toPandas()
     assert sorted(got.doc_id) == [0, 2]
+
+
+def test_distinct_texts_stay_whatever_their_ids(spark):
+    text = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(None, text[0], "en", "a", 1), (None, text[1], "en", "a", 1), (None, text[0], "en", "b", 1), (7, text[2], "en", "a", 1), (7, text[3], "en", "a", 1), (5, text[3], "en", "a", 1)]
+    got = corpus_pipeline.near_duplicate_groups(spark, spark.createDataFrame(rows, COLUMNS), "").toPandas()
+    assert sorted(got.text) == text and got[got.text == text[3]].doc_id.tolist() == [5]
