@@ -45,3 +45,17 @@ def test_two_writers(awkward, spark, tmp_path):
     with pytest.raises(Conflict):
         store.commit(base, [])
     assert store.manifest()["version"] == base["version"] + 1 and store.read().count() == awkward.count()
+
+
+def test_large_runs_of_small_files_are_rewritten(spark, tmp_path):
+    df = spark.range(12_000).selectExpr("id as doc_id", "sha2(cast(id as string), 512) as noise")
+    for n in (1, 5):  # fewer runs than a tier takes, and more
+        store = ShardStore(spark, f"file://{tmp_path}/{n}", df.schema, target_bytes=40_000, fan_in=4)
+        for k in range(n):
+            store.append(df.where(f"doc_id % {n} = {k}").repartition(40))
+        before = store.manifest()["runs"]
+        assert len(before) == n and all(r["bytes"] > 160_000 and max(b for _, b in r["files"]) < 40_000 for r in before)
+        after = store.compact()["runs"]
+        files = [b for r in after for _, b in r["files"]]
+        assert all(20_000 <= b <= 80_000 for b in files) and not store.plan(after)
+        assert rows(store.read()) == rows(df)

@@ -4,7 +4,8 @@ A store is a folder with immutable Parquet shards and manifests. Arrivals are
 appended as runs of small shards, each shard as a task wrote it. A run's tier is
 the logarithm of its bytes to the base ``fan_in``; when a tier holds ``fan_in``
 runs, they are merged into one run of files of about the target size, by one
-shuffle of just their rows, until no tier is full. What runs there are, and
+shuffle of just their rows, until no tier is full. A run whose files are well
+under the target is rewritten so whatever its size and its tier. What runs there are, and
 which files they have, is said by the newest manifest alone: it is written
 under another name and renamed to the next version, which fails if that version
 exists, so readers see a whole version and a writer that lost a race starts
@@ -117,13 +118,22 @@ class ShardStore:
     def tier(self, run: dict) -> int:
         return int(math.log(max(run["bytes"], 1), self.fan_in))
 
+    def wanted(self, runs: list[dict]) -> int:
+        """How many files of about the target size hold ``runs``."""
+        return max(1, round(sum(r["bytes"] for r in runs) / self.target_bytes))
+
+    def loose(self, run: dict) -> bool:
+        """Whether a run has files, at least two, of under half the target. What a merge wrote is so only if it came out smaller than thought."""
+        return sum(b < self.target_bytes / 2 for _, b in run["files"]) > 1 and self.wanted([run]) < run.get("wanted", math.inf)
+
     def plan(self, runs: list[dict]) -> list[list[dict]]:
-        """The merges to make: of every tier with ``fan_in`` runs of less than the target each, all its runs.
+        """The merges to make: of every tier with ``fan_in`` runs that are loose or of less than the target each, all its runs; then every other loose run.
 
         Runs near a tier's edge count with the tier above it if that fills it,
         so runs of one size aren't kept apart by the logarithm.
         """
-        small = sorted((r for r in runs if r["bytes"] < self.target_bytes * self.fan_in), key=lambda r: r["bytes"])
+        loose = [r for r in runs if self.loose(r)]
+        small = sorted((r for r in runs if r in loose or r["bytes"] < self.target_bytes * self.fan_in), key=lambda r: r["bytes"])
         out, held = [], []
         for r in small:
             if held and r["bytes"] > self.fan_in * held[0]["bytes"]:
@@ -131,15 +141,17 @@ class ShardStore:
                     out.append(held)
                 held = []
             held.append(r)
-        return [*out, held] if len(held) >= self.fan_in else out
+        if len(held) >= self.fan_in:
+            out.append(held)
+        met = {r["folder"] for held in out for r in held}
+        return [*out, *([r] for r in loose if r["folder"] not in met)]
 
     def compact(self) -> dict:
         """Merge until no tier is full; every merge is one new version."""
         now = self.manifest()
         while merges := self.plan(now["runs"]):
             merged = merges[0]
-            size = sum(r["bytes"] for r in merged)
-            files = max(1, round(size / self.target_bytes))
+            files = self.wanted(merged)
             folder = f"runs/{uuid.uuid4().hex}"
             rows = self._read(merged)
             # dealt by a hash of the whole row, so no key is hot; rows that are alike in all columns are many only by their own size
@@ -147,7 +159,7 @@ class ShardStore:
             rows.withColumn(_DEAL, deal).repartition(files, _DEAL).drop(_DEAL).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
             gone = {r["folder"] for r in merged}
             made = self._run(folder)
-            now = self.commit(now, [*(r for r in now["runs"] if r["folder"] not in gone), *([made] if made else [])])
+            now = self.commit(now, [*(r for r in now["runs"] if r["folder"] not in gone), *([made | {"wanted": files}] if made else [])])
         return now
 
     def vacuum(self, keep: int = 1) -> None:
