@@ -17,7 +17,7 @@ from weir.llm.common import scratch, stage
 from weir.llm.compaction import shard
 from weir.llm.mixing import mix
 from weir.llm.quality import filter_quality
-from weir.llm.shingles import COMPONENT, ROW, near_copies
+from weir.llm.shingles import firsts
 from weir.llm.tiling import decontaminate
 
 #: The near-duplicate stage's shingles: five words, as against the three of the query's contract. What is this similar is a near copy.
@@ -31,11 +31,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group: that of the smallest id, null ids last; of rows with one id, the one with the smallest hash."""
-    found = stage(near_copies(docs, width=SHINGLE, least=SIMILAR), "copies")
-    # rows that are alike in all columns are told apart by the row's key
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), F.xxhash64(*docs.columns).alias("all"), ROW)
-    first = found.groupBy(COMPONENT).agg(F.min(rank).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return found.join(first, ROW, "left_semi").select(*docs.columns)
+    rank = [F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), F.xxhash64(*docs.columns).alias("all")]
+    return firsts(docs, rank, width=SHINGLE, least=SIMILAR)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import as_bytes, components, partitions, stage, text_batches
+from .common import as_bytes, components, discard, partitions, stage, text_batches
 
 LEAST = 0.8
 BANDS, ROWS = 20, 4
@@ -153,13 +153,28 @@ def _links(rows: DataFrame, names: DataFrame, width: int, text_col: str, least:
         if len(nodes) > 1:
             yield found()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    # components() reads the links twice
+    links = stage(dealt.mapInArrow(run, "a long, b long"), "links")
+    discard(first, crowded, sets)
+    return links
 
 
-def near_copies(docs: DataFrame, *, width: int = 5, least: float = LEAST, split_at: int = SPLIT_AT, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``ROW``, a key of the row, and ``COMPONENT``, a key of the group of near copies that it is in."""
+def grouped(docs: DataFrame, *, width: int = 5, least: float = LEAST, split_at: int = SPLIT_AT, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with ``ROW``, a key of the row, and ``_node``, that of its set; rows (node, root), the group of each set that has links."""
     rows = stage(marked(docs, width, text_col), "marked")
     names = stage(rows.groupBy("_node").agg(F.min(ROW).alias(ROW)), "names")
-    roots = components(_links(rows, names, width, text_col, least, split_at))
-    out = rows.join(roots, rows["_node"] == roots.node, "left")
-    return out.select(*docs.columns, ROW, F.coalesce("root", "_node").alias(COMPONENT))
+    return rows, components(_links(rows, names, width, text_col, least, split_at))
+
+
+def near_copies(docs: DataFrame, **options) -> DataFrame:
+    """Rows (``ROW``, ``COMPONENT``) beside the columns of ``docs``: a key of the row, and one of the group of near copies that it is in."""
+    rows, roots = grouped(docs, **options)
+    return rows.join(roots, rows["_node"] == roots.node, "left").select(*docs.columns, ROW, F.coalesce("root", "_node").alias(COMPONENT))
+
+
+def firsts(docs: DataFrame, rank: list, **options) -> DataFrame:
+    """One row of ``docs`` for each group of near copies, the first by the columns ``rank``; only these are dealt, and texts once."""
+    rows, roots = grouped(docs, **options)
+    keys = rows.select("_node", F.struct(*rank, ROW).alias("rank")).join(roots, F.col("_node") == roots.node, "left")
+    first = keys.groupBy(F.coalesce("root", "_node").alias(COMPONENT)).agg(F.min("rank").alias("rank")).select(F.col(f"rank.{ROW}").alias(ROW))
+    return rows.join(stage(first, "first"), ROW, "left_semi").select(*docs.columns)
