@@ -4,17 +4,19 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weir.llm import ctw
-from weir.llm.ctw import Model, gather, grams, op10_ctw, score, tally
+from weir.llm.ctw import grams, op10_ctw, pieces, score, tally
 
 
 def naive(train, depth):
     """P(one) at a node by the recursion of context-tree weighting over dictionaries."""
     nodes = {}
     for t in train:
-        p = bytes(depth) + t + b"\0"
+        p = b"\xff" * depth + t + b"\xff"
         for i in range(depth, len(p)):
             for k in range(8):
                 for d in range(depth + 1):
@@ -47,7 +49,7 @@ def naive(train, depth):
         return p + rest / 2
 
     def log10(t):
-        p, total = bytes(depth) + t + b"\0", 0.0
+        p, total = b"\xff" * depth + t + b"\xff", 0.0
         for i in range(depth, len(p)):
             for k in range(8):
                 q = one(p[i - depth : i], p[i] >> (8 - k), k)
@@ -57,22 +59,64 @@ def naive(train, depth):
     return log10
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3])
-def test_model_against_naive(depth):
-    train = [b"abracadabra", b"", b"the cat sat on the mat", "é".encode() * 5]
-    m = Model(*[x[np.argsort(tally(grams(train, depth)[0])[0])] for x in tally(grams(train, depth)[0])], depth)
-    want = naive(train, depth)
-    tests = [b"", b"abra", b"zzz", b"the mat", b"\xff\x00"]
-    assert np.allclose(m.score(tests), [want(t) for t in tests], atol=1e-4)
+def table(spark, texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+TRAIN = ["abracadabra", "", "the cat sat on the mat", "é" * 5, "a\0b\0b", "abracadabra"]
+OTHERS = ["", "abra", "zzz", "the mat", "\0", "a\0b", "ca" * 40]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 5])
+@pytest.mark.parametrize("frequent", [0, 7, 10_000])
+def test_scores_against_naive(spark, depth, frequent):
+    want = naive([t.encode() for t in TRAIN], depth)
+    docs = table(spark, TRAIN + OTHERS)
+    got = score(docs, F.col("doc_id") < len(TRAIN), depth=depth, frequent_grams=frequent).toPandas().sort_values("id")
+    assert np.allclose(got.score, [want(t.encode()) for t in TRAIN + OTHERS], atol=1e-9)
+
+
+def test_long_texts_go_in_pieces(spark, monkeypatch):
+    texts = TRAIN + OTHERS + ["the cat " * 50]
+    docs, train = table(spark, texts), F.col("doc_id") < len(TRAIN)
+    a = score(docs, train).toPandas().sort_values("id")
+    for t in texts:
+        whole = np.concatenate([grams(lot, 5)[0] for _, lot in pieces([t.encode()], 5)])
+        cut = np.concatenate([grams(lot, 5)[0] for _, lot in pieces([t.encode()], 5, 7)])
+        assert (whole == cut).all() and len(whole) == len(t.encode()) + 1
+    whole, small = pieces, lambda texts, depth: whole(texts, depth, 7)
+    monkeypatch.setattr(ctw, "pieces", small)
+    rows = list(small([t.encode() for t in texts], 5))
+    assert len(rows) > len(texts)
+    b = score(docs, train, frequent_grams=20).toPandas().sort_values("id")
+    assert a.drop(columns="score").equals(b.drop(columns="score").reset_index(drop=True).set_index(a.index)) and np.allclose(a.score, b.score)
+
+
+def test_groups_of_grams_stay_whole():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 20, 5000)) << 20 | 7
+    keys = keys[np.argsort(keys >> 8 & 0xFFFFFF, kind="stable")]
+    n = np.arange(len(keys))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 100]) for x in (keys, n, n)], names=["gram", "n", "m"]) for i in range(0, len(keys), 100)]
+    got = list(ctw._in_pieces(batches, 5, 300))
+    assert len(got) > 5 and sorted(x for k, _, _ in got for x in k) == sorted(keys)
+    groups = [set((k >> 8 & 0xFFFFFF).tolist()) for k, _, _ in got]
+    assert sum(map(len, groups)) == len(set().union(*groups))
+    assert all((keys[c] == k).all() for k, c, _ in got)
 
 
 def test_next_byte_probabilities_add_up():
     train = [b"abracadabra", b"the cat sat on the mat"]
-    k, n = tally(grams(train, 3)[0])
-    m = Model(k[np.argsort(k)], n[np.argsort(k)], 3)
-    for ctx in (b"bra", b"xyz", b"\0\0\0"):
+    held = [tally(grams(lot, 3)[0]) for _, lot in pieces(train, 3)]
+    keys, n = (x[np.argsort(held[0][0])] for x in held[0])
+    upper = ctw.Upper(3, ctw.top_sums(keys, n.astype(float), 3))
+    for ctx in (b"bra", b"xyz", b"\xff\xff\xff"):
         g = (int.from_bytes(ctx, "big") << 8) + np.arange(256)
-        assert abs((10 ** m.log10(g)).sum() - 1) < 1e-5
+        all_keys = np.union1d(keys, g)
+        counts = np.zeros(len(all_keys), np.int64)
+        counts[np.searchsorted(all_keys, keys)] = n
+        logs = ctw.gram_scores(upper, all_keys, counts)[np.searchsorted(all_keys, g)]
+        assert abs((10**logs).sum() - 1) < 1e-9
 
 
 def brute(rows):
@@ -90,16 +134,16 @@ def check(got, rows):
     assert (got.score <= 0).all()
 
 
-def test_query(spark, sf, docs, monkeypatch):
+def test_query(spark, sf, docs):
     check(op10_ctw(spark, sf).toPandas(), list(zip(docs.doc_id, docs.text)))
 
 
 def test_few_frequent_words_change_nothing(spark, awkward):
     from weir.llm.common import fold
 
-    a = score(awkward, ~fold(awkward, 7, 2), frequent=3).toPandas().sort_values(["id", "n_tokens"])
+    a = score(awkward, ~fold(awkward, 7, 2), frequent_words=3, frequent_grams=9).toPandas().sort_values(["id", "n_tokens"])
     b = score(awkward, ~fold(awkward, 7, 2)).toPandas().sort_values(["id", "n_tokens"])
-    assert np.allclose(a.base_score, b.base_score) and list(a.n_known) == list(b.n_known)
+    assert np.allclose(a.base_score, b.base_score) and np.allclose(a.score, b.score) and list(a.n_known) == list(b.n_known)
 
 
 def test_awkward(awkward, on_table):
