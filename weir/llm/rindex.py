@@ -10,15 +10,18 @@ proportion to the input.
    bytes alone, so equal windows pick equal grams at equal places. Successive
    windows with one pick form a piece: some 35 windows, known by the pick's hash
    (its anchor) and a hash of its bytes.
-2. Equal pieces. Pieces are dealt by anchor, as packed arrays. All but the first
-   of equal pieces are repeats as they stand. An anchor with one distinct piece
-   has no further repeats; of the others the first piece of each kind is asked
-   for.
+2. Equal pieces. All but the first of equal pieces are repeats as they stand.
+   Each task settles its own before anything is dealt, so of a passage that
+   stands everywhere a task sends one piece. What is left is dealt by anchor, as
+   packed arrays. An anchor with one distinct piece has no further repeats; of
+   the others the first piece of each kind is asked for.
 3. Index. The pieces asked for are cut out of their texts and dealt by anchor.
-   Each deal becomes a ``RunIndex``; its matching statistics with the
-   lexicographic predecessor, streamed from the samples at run ends, mark
-   matches of ``width`` bytes and more. Windows chained by such matches are
-   equal; all but the earliest of a chain are repeats.
+   Each deal becomes a ``RunIndex``, which keeps the runs of the transform and
+   the suffixes at their ends, not the suffix array. Matching statistics with the
+   lexicographic predecessor are streamed from those samples and mark matches of
+   ``width`` bytes and more; which suffix the predecessor is (the map phi) is
+   read off the same samples. Windows chained by such matches are equal; all but
+   the earliest of a chain are repeats.
 4. Texts. The repeats' spans are gathered for each text and cut out.
 
 An anchor of more than ``HOT`` distinct pieces would land in one task, so its
@@ -26,8 +29,10 @@ pieces are cut into single windows, dealt by the hash of the window.
 
 Defined cases: null text is empty; a null id comes before all others; rows with
 one id and text are one document, rows with one id and other texts are ordered
-by their hash; texts shorter than ``width`` lose nothing; an empty table gives
-an empty result.
+by their hash; texts shorter than ``width`` lose nothing; texts of over
+``SLICE`` bytes are taken slice by slice; an empty table gives an empty result;
+columns beside id and text are not read, whatever their names. An id must cast
+to a long.
 """
 
 from __future__ import annotations
@@ -128,7 +133,7 @@ class RunIndex:
         self.symbols = before[self.starts]
         self.first = order[self.starts]
         self.last = order[np.concatenate([self.starts[1:], [len(order)]]) - 1]
-        self.order = order
+        self.rows = len(order)
 
     def _suffixes(self, longest: int) -> np.ndarray:
         """Suffixes in order; a suffix ends with its string, and equal ones keep the strings' order."""
@@ -170,9 +175,29 @@ class RunIndex:
         last = np.maximum.accumulate(np.where(known >= 0, at, -1))
         return np.where(last >= 0, known[last] - (at - last), 0)
 
+    def before(self, at: np.ndarray) -> np.ndarray:
+        """The suffix before each of the suffixes ``at`` in order (-1 before the first): as far from it as the samples at the nearest run head to its left and the end of the run above that."""
+        rank = np.argsort(self.first)
+        run = rank[np.searchsorted(self.first[rank], at, side="right") - 1]
+        return np.where(run > 0, self.last[run - 1] + (at - self.first[run]), -1)
+
+    def chains(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes in chains of successive matches of ``width`` bytes and more, and the first suffix of each one's chain."""
+        long = np.flatnonzero(self.statistics() >= width)
+        up = self.before(long)
+        # a chain begins where a match is short; every round halves the way to there
+        while len(long):
+            at = np.minimum(np.searchsorted(long, up), len(long) - 1)
+            on = long[at] == up
+            if not on.any():
+                break
+            up = np.where(on, up[at], up)
+        heads = np.unique(up)
+        return np.concatenate([heads, long]), np.concatenate([heads, up])
+
     def count(self, pattern: bytes) -> int:
         """Occurrences of ``pattern`` by backward search over the runs."""
-        lo, hi = 0, len(self.order)
+        lo, hi = 0, self.rows
         lengths = np.diff(np.concatenate([self.starts, [hi]]))
         for c in pattern[::-1]:
             c += 1
@@ -192,13 +217,7 @@ class RunIndex:
 
 def repeats(strings: list[bytes], place: tuple[np.ndarray, ...], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(string, window) for every window that an earlier window equals; ``place`` orders windows: keys by string, the last the start."""
-    index = RunIndex(strings)
-    long = index.statistics() >= width
-    row_long = long[index.order]
-    chain = np.cumsum(~row_long)
-    size = np.bincount(chain)
-    rows = np.flatnonzero(size[chain] > 1)
-    at, chain = index.order[rows], chain[rows]
+    at, chain = RunIndex(strings).chains(width)
     sizes = np.array([len(s) + 1 for s in strings], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
     string = np.searchsorted(begins, at, side="right") - 1
@@ -271,12 +290,32 @@ def _rows(kind: str, found: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(found), pa.string()), "part": pa.array([p for p, _ in found], pa.int32()), "data": pa.array([x for _, x in found], pa.binary())})
 
 
+def _settled(held: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Columns of pieces in order; which are the first of equal ones; which are later than that one and so repeats."""
+    a, h, d, th, s, n = (np.concatenate([x[i] for x in held]) for i in range(6))
+    order = np.lexsort((s, th, d, h, a))
+    a, h, d, th, s, n = cols = [c[order] for c in (a, h, d, th, s, n)]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (h[1:] != h[:-1])])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+    # a piece may be there twice if its document is; it isn't later than itself
+    return cols, new, ~new & ((d != d[lead]) | (th != th[lead]) | (s != s[lead]))
+
+
+def _late_rows(cols: list[np.ndarray], late: np.ndarray, parts: int, width: int):
+    if late.any():
+        d, th, s, n = (c[late] for c in cols[2:])
+        span = d, th, s, (s + n + (width - 1)).astype("<u4")
+        yield _rows("span", [(p, _pack(*c)) for p, c in _by_part(_doc_part(*span[:2], parts), *span)])
+
+
 def _anchor_rows(batches, parts: int, width: int):
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush():
-        a, h, d, th, s, n = (np.concatenate([x[i] for x in held]) for i in range(6))
+        cols, new, late = _settled(held)
         held.clear()
+        yield from _late_rows(cols, late, parts, width)
+        a, h, d, th, s, n = (c[new] for c in cols)
         yield _rows("piece", [(p, _pack(*c)) for p, c in _by_part((a >> np.uint64(20)).astype(np.int64) % parts, a, h, d, th, s, n)])
 
     for b in batches:
@@ -298,18 +337,10 @@ def _anchor_rows(batches, parts: int, width: int):
 def _equal_rows(batches, parts: int, width: int, hot_at: int):
     """From pieces dealt by anchor: spans of those that repeat whole, and the pieces asked for."""
     for part, rows in _groups(batches):
-        cols = [_unpack(r[1], *_PIECE) for r in rows]
-        a, h, d, th, s, n = (np.concatenate([c[i] for c in cols]) for i in range(6))
-        order = np.lexsort((s, th, d, h, a))
-        a, h, d, th, s, n = (c[order] for c in (a, h, d, th, s, n))
-        new_a = np.concatenate([[True], a[1:] != a[:-1]])
-        new = new_a | np.concatenate([[True], h[1:] != h[:-1]])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-        late = ~new & ((d != d[lead]) | (th != th[lead]) | (s != s[lead]))
-        if late.any():
-            span = d[late], th[late], s[late], (s[late] + n[late] + (width - 1)).astype("<u4")
-            yield _rows("span", [(p, _pack(*c)) for p, c in _by_part(_doc_part(*span[:2], parts), *span)])
-        group = np.cumsum(new_a) - 1
+        cols, new, late = _settled([_unpack(r[1], *_PIECE) for r in rows])
+        yield from _late_rows(cols, late, parts, width)
+        a, _, d, th, s, n = cols
+        group = np.cumsum(np.concatenate([[True], a[1:] != a[:-1]])) - 1
         kinds = np.bincount(group, weights=new).astype(np.int64)[group]
         ask = new & (kinds > 1)
         if ask.any():
@@ -429,7 +460,7 @@ def spans(docs: DataFrame, *, width: int = WIDTH, hot_at: int = HOT, id_col: str
     wanted = keyed.select("d", "th", "text").dropDuplicates(["d", "th"]) if tied else keyed.select("d", "th", "text")
     cut = stage(wanted.join(asked, ["d", "th"]).select("d", "th", "text", "data").mapInArrow(lambda it: _cut_rows(it, parts, width), blob), "cut")
     late = stage(_deal(cut, "cut").mapInArrow(lambda it: _index_rows(it, parts, width), blob), "late")
-    found = stage(_deal(equal.union(late), "span").mapInArrow(_span_rows, "d long, th long, data binary"), "spans")
+    found = stage(_deal(anchors.union(equal).union(late), "span").mapInArrow(_span_rows, "d long, th long, data binary"), "spans")
     return keyed, found
 
 
