@@ -2,14 +2,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from weir.llm.tokens import Encoder, frame, op6_tokens, pack, read_frame, unpack
+from weir.llm.tokens import Encoder, frame, op6_tokens, pack, read_frame, read_from, read_tokens, unpack, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ENCODER = Encoder(PATH)
+ENCODER, TOKENIZER = Encoder(PATH), Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=60, deadline=None)
@@ -20,6 +22,8 @@ def test_round_trip(values):
     assert (unpack(words, offsets, len(ids)) == ids).all()
     docs, lengths, back = read_frame(frame([5, None], [len(ids), 0], ids))
     assert docs == [5, None] and list(lengths) == [len(ids), 0] and (back == ids).all()
+    for place, count in ((0, 1), (len(ids) // 2, 200), (len(ids), 3), (max(len(ids) - 5, 0), 99)):
+        assert (read_from(frame([5, None], [len(ids), 0], ids), place, count) == ids[place : place + count]).all()
 
 
 def test_packs_densely():
@@ -27,27 +31,52 @@ def test_packs_densely():
     assert len(pack(np.zeros(1280, dtype=np.uint64))[0]) == 10
 
 
+def plain(texts):
+    """By a tokenizer of the test's own, as the library has it."""
+    return [TOKENIZER.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def encoded(encoder, texts):
+    ids, sizes = encoder.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="abcdé漢ñ'.,!?x9\n\n\t\u0301²", max_size=9), max_size=12).map(" ".join))
 def test_words_equal_whole(text):
-    assert ENCODER.byte_level and ENCODER.encode([text]) == ENCODER.plain([text])
+    assert ENCODER.by_chunks and encoded(ENCODER, [text]) == plain([text])
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=" \n\t  \x85\x1cab'sé1.!<|endoftext>", max_size=40))
-def test_chunks_equal_whole(text):
+@given(st.lists(st.text(alphabet=" \n\t  \x85\x1cab'sé1.!<|endoftext>", max_size=40), min_size=1, max_size=5))
+def test_chunks_equal_whole(texts):
+    texts = [*texts, texts[0] + " x", None, "", " ", "a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|>y <|endoftext|><|endoftext|>. z"]
     e = Encoder(PATH)
-    assert e.encode([text, text + " x"]) == e.plain([text, text + " x"])
+    assert encoded(e, texts) == plain(texts) == encoded(e, texts)
+    sliced, sizes = e.encode(pa.array(texts, pa.string()).slice(1))
+    assert sliced.tolist() == [x for own in plain(texts[1:]) for x in own]
 
 
-def brute(rows):
-    from tokenizers import Tokenizer
+def test_special_tokens_and_forgetting(monkeypatch):
+    monkeypatch.setattr(Encoder, "KEEP", 3)
+    e, rows = Encoder(PATH), ["one two three four", "two five  six", "a <|endoftext|> b", "one\ntwo seven"]
+    assert 50256 in encoded(e, rows)[2]
+    for _ in range(3):
+        assert encoded(e, rows) == plain(rows)
+    assert 50256 not in encoded(Encoder(PATH, special_as_text=True), rows)[2]
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+
+def test_files_where_the_caller_wants_them(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "word " * i) for i in range(20)], "doc_id long, text string")
+    frames = write_tokens(docs, PATH, str(tmp_path / "out"))
+    got = read_tokens(spark.read.parquet(str(tmp_path / "out"))).toPandas()
+    assert frames.count() and dict(zip(got.doc_id, got.n_tokens)) == {i: len(plain(["word " * i])[0]) + 1 for i in range(20)}
+
+
+def brute(rows):
     start, out = 0, {}
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
-        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        ids = [*plain([text])[0], 0]
         out.setdefault(doc, []).append((start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         start += len(ids)
     return out

@@ -11,13 +11,18 @@ like any of Spark's files.
 
 Tokenising. A pretoken of the byte-level vocabulary never runs on from a
 character that isn't white space into a space, so a text whose spaces all
-follow such a character is the concatenation of its space-led chunks, which
-are encoded once for each distinct chunk of a batch. Other texts go to the
-tokenizer whole.
+follow such a character is the concatenation of its space-led chunks. A batch
+of texts is cut into chunks and these are numbered by Arrow over one buffer;
+distinct chunks that are new are encoded, all others are known by number, and
+the batch's ids are one gather from the ids of the known chunks. Other texts go
+to the tokenizer whole. Special tokens in a text are what the tokenizer makes
+of them; ``special_as_text`` makes them ordinary text.
 
 Defined cases: null or empty text has only the end id; ids in ascending
-order with null first; rows with one id in order of their texts; an empty
-table gives empty files and results.
+order with null first; rows with one id in order of their texts; very long
+texts are encoded whole, and a frame ends with the document that fills it;
+columns beside id and text are not read, whatever their names; an empty table
+gives empty files and results.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from array import array
 from codecs import charmap_decode
+from itertools import chain
 from string import punctuation
 
 import numpy as np
@@ -141,6 +146,19 @@ def frame(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> byt
     return b"".join([head, known.tobytes(), null.tobytes(), np.array(lengths, dtype="<u4").tobytes(), offsets.astype("<u4").tobytes(), words.astype("<u8").tobytes()])
 
 
+def read_from(data: bytes, place: int, count: int) -> np.ndarray:
+    """``count`` of a frame's ids from ``place`` on, decoding just the blocks that hold them."""
+    _, docs, n, n_off, n_words = _HEAD.unpack_from(data)
+    offsets_at = _HEAD.size + docs * 13
+    offsets = np.frombuffer(data, "<u4", n_off, offsets_at)
+    count = max(min(count, n - place), 0)
+    lo, hi = place // BLOCK, -(-(place + count) // BLOCK)
+    a, z = (int(offsets[k]) for k in (lo, hi)) if count else (0, 0)
+    words = np.frombuffer(data, "<u8", z - a, offsets_at + offsets.nbytes + 8 * a)
+    own = unpack(words, offsets[lo : hi + 1] - np.uint32(a), min(hi * BLOCK, n) - lo * BLOCK) if count else np.zeros(0, np.uint64)
+    return own[place - lo * BLOCK :][:count]
+
+
 def read_frame(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """The documents' ids, their numbers of token ids, and all token ids."""
     magic, docs, n, n_off, n_words = _HEAD.unpack_from(data)
@@ -165,94 +183,148 @@ _SIGNS = "".join(chr(_HIDDEN.get(b, b)) for b in range(256))
 
 
 class Encoder:
-    """Texts to the bytes of their ids (little-endian, four bytes each), by way of distinct chunks.
+    """Texts to their ids, by way of distinct chunks.
 
     A chunk of a space and letters is one pretoken, so the vocabulary's merges
     are applied to it alone; marks after letters begin a pretoken of their own,
     as do a line's end between other characters and the letters after it.
     """
 
-    KEEP = 900_000
+    #: Known chunks, and their ids, after which a worker begins anew.
+    KEEP, KEEP_IDS = 900_000, 8_000_000
     LONGEST = 48
 
-    def __init__(self, path: str, special_as_text: bool = True) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.chunks: dict[str, bytes] = {}
-        #: Chunks that no space may follow: empty ones, and those that end with white space.
-        self.open: set[str] = set()
-        self.line_heads: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        added = [] if special_as_text else list(self.tokenizer.get_added_tokens_decoder().values())
+        self.special = [t.content for t in added]
+        self.forget()
         tries = ["word", "Éöß", "漢字", "x"]
-        self.byte_level = special_as_text and [self._letters(" " + x) for x in tries] == self.plain([" " + x for x in tries])
+        self.by_chunks = not any(" " in t.content or t.lstrip or t.rstrip or t.single_word or t.normalized for t in added) and [self._letters(" " + x) for x in tries] == self.plain([" " + x for x in tries])
 
-    def plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def forget(self) -> None:
+        self.code: dict[bytes, int] = {}
+        #: By code: where a chunk's ids start, how many it has, and whether no space may follow it: it is empty or ends with white space.
+        self.start, self.size, self.open = (np.zeros(1 << 16, k) for k in (np.int64, np.int64, bool))
+        self.ids, self.n_codes, self.n_ids = np.zeros(1 << 18, np.uint32), 0, 0
+        self.words: tuple[dict[str, list[int]], dict[str, list[int]]] = {}, {}
+        self.marks: dict[str, list[int]] = {}
 
-    def _letters(self, word: str) -> bytes:
+    def plain(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _letters(self, word: str) -> list[int]:
         signs = charmap_decode(word.encode(), "strict", _SIGNS)[0]
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
+        return [t.id for t in self.tokenizer.model.tokenize(signs)]
+
+    def _mark(self, x: str) -> list[int]:
+        if x not in self.marks:
+            self.marks[x] = self.plain([x])[0]
+        return self.marks[x]
 
-    def _word(self, x: str, lead: str, known: dict[str, bytes]) -> bytes | None:
+    def _word(self, x: str, led: bool) -> list[int] | None:
         """The ids of letters with marks after them, if ``x`` is no more than that."""
-        if x in known:
-            return known[x]
         core = x.rstrip(punctuation)
         if not core.isalpha():
             return None
+        known = self.words[led]
         ids = known.get(core)
         if ids is None:
-            ids = known[core] = self._letters(lead + core)
-        tail = x[len(core) :]
-        if tail and tail not in self.marks:
-            self.marks[tail] = self.plain([tail])[0]
-        return ids + self.marks[tail] if tail else ids
-
-    def _new(self, order: list[str]) -> dict[str, bytes]:
-        """The ids of chunks that follow a space."""
-        if not self.byte_level:
-            return dict(zip(order, self.plain([" " + x for x in order])))
-        out, rest, line = {}, [], self.marks.setdefault("\n", self.plain(["\n"])[0])
-        for x in order:
-            first, *more = x.split("\n")
-            ids = [self._word(first, " ", self.chunks), *(self._word(y, "", self.line_heads) for y in more)]
-            if None in ids:
-                rest.append(x)
-            else:
-                out[x] = line.join(ids)
-        out.update(zip(rest, self.plain([" " + x for x in rest])))
-        return out
+            ids = known[core] = self._letters(" " + core if led else core)
+        return ids + self._mark(x[len(core) :]) if len(core) < len(x) else ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > self.KEEP:
-            self.chunks, self.line_heads, self.marks, self.open = {}, {}, {}, set()
-        known = self.chunks
-        parts = [t.split(" ") for t in texts]
-        heads = self.plain([p[0] for p in parts])
-        new: set[str] = set()
-        for p in parts:
-            new.update(p)
-        got = self._new(list(new.difference(known)))
-        known.update(got)
-        for x in got:
-            if not x or x[-1].isspace():
-                self.open.add(x)
-        out: list[bytes] = []
-        for t, p, head in zip(texts, parts, heads):
-            if not self.open.isdisjoint(p) and not self.open.isdisjoint(p[:-1]):
-                out.append(self.plain([t])[0])
-                continue
-            del p[0]
-            out.append(head + b"".join(map(known.__getitem__, p)))
-        for x in got:
-            if len(x) > self.LONGEST or "\n" in x:
-                del known[x]
-                self.open.discard(x)
-        return out
+    def _chunk(self, x: str) -> list[int] | None:
+        """The ids of a chunk that is led by a space, if it is lines of words."""
+        if x[0] != " " or any(t in x for t in self.special):
+            return None
+        first, *more = x[1:].split("\n")
+        ids = self._word(first, True)
+        for y in more:
+            next_ = self._word(y, False)
+            if ids is None or next_ is None:
+                return None
+            ids = ids + self._mark("\n") + next_
+        return ids
+
+    def _learn(self, chunks: list[bytes]) -> list[int]:
+        """New codes of ``chunks``."""
+        texts = [x.decode() for x in chunks]
+        found = [self._chunk(x) for x in texts]
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, ids in zip(rest, self.plain([texts[i] for i in rest])):
+            found[i] = ids
+        first, n = self.n_codes, len(chunks)
+        sizes = np.fromiter(map(len, found), np.int64, n)
+        total = int(sizes.sum())
+        while len(self.start) < first + n:
+            self.start, self.size, self.open = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.open))
+        while len(self.ids) < self.n_ids + total:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.start[first : first + n] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size[first : first + n] = sizes
+        self.open[first : first + n] = [x == " " or x[-1].isspace() for x in texts]
+        self.ids[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.n_codes, self.n_ids = first + n, self.n_ids + total
+        return list(range(first, first + n))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts (UTF-8 in a string or binary array; null is empty), and how many each text has."""
+        n = len(texts)
+        if not self.by_chunks:
+            found = self.plain([x or "" for x in texts.cast(pa.large_string()).to_pylist()])
+            sizes = np.fromiter(map(len, found), np.int64, n)
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+        column = texts.cast(pa.large_binary()).fill_null(b"")
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+        at, flat = at - at[0], np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        # a chunk begins at every space and at every text
+        begins = flat == 32
+        full = np.flatnonzero(np.diff(at))
+        begins[at[full]] = True
+        begins = np.flatnonzero(begins)
+        first = np.searchsorted(begins, at[full])
+        if not len(full):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        edges = np.concatenate([begins, [len(flat)]])
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
+        distinct = chunks.dictionary.to_pylist()
+        if len(self.code) > self.KEEP or self.n_ids > self.KEEP_IDS:
+            self.forget()
+        new = [x for x in distinct if x not in self.code]
+        self.code.update(zip(new, self._learn(new)))
+        codes = np.fromiter(map(self.code.__getitem__, distinct), np.int64, len(distinct))[chunks.indices.to_numpy()]
+        for x in new:
+            if len(x) > self.LONGEST or b"\n" in x:
+                del self.code[x]
+        # a text goes whole if what must not be followed by a space is
+        amid = self.open[codes]
+        amid[np.concatenate([first[1:], [len(codes)]]) - 1] = False
+        start, size = self.start[codes], self.size[codes]
+        if amid.any():
+            bad = np.unique(np.searchsorted(first, np.flatnonzero(amid), side="right") - 1)
+            whole = self._whole([flat[at[t] : at[t + 1]].tobytes().decode() for t in full[bad].tolist()])
+            last = np.concatenate([first[1:], [len(codes)]])
+            for t, (s, k) in zip(bad.tolist(), whole):
+                size[first[t] : last[t]] = 0
+                start[first[t]], size[first[t]] = s, k
+        sizes = np.zeros(n, np.int64)
+        sizes[full] = np.add.reduceat(size, first)
+        total = int(size.sum())
+        out = self.ids[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)]
+        return out, sizes
+
+    def _whole(self, texts: list[str]) -> list[tuple[int, int]]:
+        """Where the ids of whole texts are put for this batch, and how many they are."""
+        found = self.plain(texts)
+        flat = np.fromiter(chain.from_iterable(found), np.uint32)
+        self.ids = np.concatenate([self.ids[: self.n_ids], flat, np.zeros(1 << 18, np.uint32)])
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        starts = self.n_ids + np.cumsum(sizes) - sizes
+        return list(zip(starts.tolist(), sizes.tolist()))
 
 
 _HELD: dict[tuple[str, bool], Encoder] = {}
@@ -266,39 +338,52 @@ def encoder_for(path: str, special_as_text: bool) -> Encoder:
     return _HELD[key]
 
 
-def write_tokens(docs: DataFrame, path: str, *, end_id: int = 0, special_as_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise ``docs`` into files of frames in ascending id order; the table of frames, written and read back."""
+def write_tokens(docs: DataFrame, tokenizer: str, to: str | None = None, *, end_id: int = 0, special_as_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Tokenise ``docs`` by the file ``tokenizer`` into frames in ascending id order, in Parquet files under ``to`` or in the scratch folder; the table of frames, read back."""
     spark = docs.sparkSession
     text_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text")
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder, part = encoder_for(path, special_as_text), TaskContext.get().partitionId()
+        encoder, part = encoder_for(tokenizer, special_as_text), TaskContext.get().partitionId()
         first, no, ids, lengths, data, held = 0, 0, [], [], [], 0
 
         def flush():
             nonlocal first, no, held
-            flat = np.frombuffer(b"".join(data), dtype="<u4").astype(np.uint64)
+            flat = np.concatenate(data).astype(np.uint64)
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "frame": pa.array([no], pa.int32()), "first": pa.array([first], pa.int64()), "ids": pa.array([len(flat)], pa.int64()), "data": pa.array([frame(ids, lengths, flat)], pa.binary())})
             first, no, held = first + len(flat), no + 1, 0
             ids.clear(), lengths.clear(), data.clear()
             return row
 
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            for doc, own in zip(b.column(0).to_pylist(), encoder.encode(texts)):
-                ids.append(doc)
-                data.append(own + end)
-                lengths.append(len(own) // 4 + 1)
-                held += lengths[-1]
+            found, sizes = encoder.encode(b.column(1))
+            n, own, sizes = len(sizes), b.column(0).to_pylist(), sizes + 1
+            # every document's ids, then its end
+            ends = np.cumsum(sizes)
+            flat = np.full(len(found) + n, end_id, dtype=np.uint32)
+            flat[np.arange(len(found)) + np.repeat(np.arange(n), sizes - 1)] = found
+            a = 0
+            while a < n:
+                # the documents up to the one that fills the frame
+                before = int(ends[a - 1]) if a else 0
+                z = min(n, int(np.searchsorted(ends, before + FRAME - held)) + 1)
+                ids += own[a:z]
+                lengths += sizes[a:z].tolist()
+                data.append(flat[before : ends[z - 1]])
+                held += int(ends[z - 1]) - before
+                a = z
                 if held >= FRAME:
                     yield flush()
         if ids:
             yield flush()
 
-    return stage(rows.mapInArrow(run, "part int, frame int, first long, ids long, data binary"), "tokens")
+    frames = rows.mapInArrow(run, "part int, frame int, first long, ids long, data binary")
+    if to is None:
+        return stage(frames, "tokens")
+    frames.write.parquet(to)
+    return spark.read.schema(frames.schema).parquet(to)
 
 
 def read_tokens(frames: DataFrame) -> DataFrame:
