@@ -17,7 +17,10 @@ def test_targets_stop_at_the_cap():
 
 def test_tree_keeps_quotas():
     q = np.array([100, 7, 0, 33])
-    got = split(q, 9, np.random.default_rng(1))
+    parts = split(q, 9, np.random.default_rng(1))
+    got = np.zeros((9, 4), int)
+    for row, (sources, n) in zip(got, parts, strict=True):
+        row[sources] = n
     assert got.shape == (9, 4) and (got.sum(0) == q).all() and got.sum(1).max() - got.sum(1).min() <= 4
 
 
@@ -58,6 +61,26 @@ def test_awkward(awkward, on_table):
     check(on_table(op1_mixture, awkward), [(r.doc_id, r.source, r.text) for r in awkward.collect()])
 
 
+def test_shards_and_blocks_follow_the_words(spark, monkeypatch):
+    from weir.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 100)
+    rows = [(i, f"s{i % 3}", "word " * 10) for i in range(900)] + [(1000 + i, f"t{i}", "word " * 10) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = assign(docs).toPandas()
+    check(got.rename(columns={"_mix_size": "size", "_mix_source_size": "source_size", "_mix_target": "target"}).assign(taken=got["_mix_places"].map(len) * got["_mix_size"], shards=got["_mix_places"]), rows)
+    used = {p.shard for ps in got["_mix_places"] for p in ps}
+    assert max(used) < 94 and len(used) > 80
+    assert all(len({p.copy for p in ps}) == len(ps) for ps in got["_mix_places"])
+
+
+def test_own_names_are_replaced(awkward):
+    from pyspark.sql import functions as F
+
+    docs = awkward.withColumns({"_mix_size": F.lit("x"), "_mix_key": F.lit("y")})
+    assert assign(docs).count() == awkward.count() and "_mix_key" not in mix(docs).columns
+
+
 def test_mixture_rows(awkward, nothing):
     placed = assign(awkward).toPandas()
     rows = mix(awkward).toPandas()
