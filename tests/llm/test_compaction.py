@@ -59,3 +59,46 @@ def test_large_runs_of_small_files_are_rewritten(spark, tmp_path):
         files = [b for r in after for _, b in r["files"]]
         assert all(20_000 <= b <= 80_000 for b in files) and not store.plan(after)
         assert rows(store.read()) == rows(df)
+
+
+def test_a_loser_starts_anew_and_the_dead_block_nobody(spark, tmp_path):
+    df = spark.range(30).selectExpr("id as doc_id", "id as _weir_arrival", "id as _weir_deal")
+    store = ShardStore(spark, f"file://{tmp_path}/s", df.schema)
+    store.append(df.where("doc_id < 10"))
+    # a writer that died after writing its run and its manifest's text
+    (tmp_path / "s" / "runs" / "dead").mkdir()
+    (tmp_path / "s" / "runs" / "dead" / "x.parquet").write_bytes(b"x")
+    (tmp_path / "s" / "manifests" / "_dead.tmp").write_text('{"version": 2, "ru')
+    late, commit, met = ShardStore(spark, f"file://{tmp_path}/s", df.schema), ShardStore.commit, []
+
+    def overtaken(base, runs):
+        if not met:
+            met.append(store.append(df.where("doc_id between 10 and 19")))
+        return commit(late, base, runs)
+
+    late.commit = overtaken
+    late.append(df.where("doc_id >= 20"), df.doc_id % 3)
+    assert met and rows(store.read()) == rows(df)
+    store.compact()
+    store.vacuum()
+    assert store.versions() == [store.manifest()["version"]] and rows(store.read()) == rows(df)
+    kept = {r["folder"].split("/")[1] for r in store.manifest()["runs"]}
+    assert {p.name for p in (tmp_path / "s" / "runs").iterdir()} == kept
+    assert not list((tmp_path / "s" / "manifests").glob("*.tmp"))
+
+
+def test_a_merge_that_was_overtaken_is_dropped(spark, tmp_path):
+    df = spark.range(400).selectExpr("id as doc_id")
+    stores = [ShardStore(spark, f"file://{tmp_path}/s", df.schema, fan_in=2) for _ in range(2)]
+    for k in range(4):
+        stores[0].append(df.where(f"doc_id % 4 = {k}"))
+    run, met = stores[0]._run, []
+
+    def other(folder):
+        if not met:
+            met.append(stores[1].compact())
+        return run(folder)
+
+    stores[0]._run = other
+    stores[0].compact()
+    assert met and rows(stores[1].read()) == rows(df)

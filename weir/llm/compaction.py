@@ -1,25 +1,32 @@
 """Sharding by size-tiered compaction with a versioned manifest.
 
 A store is a folder with immutable Parquet shards and manifests. Arrivals are
-appended as runs of small shards, each shard as a task wrote it. A run's tier is
-the logarithm of its bytes to the base ``fan_in``; when a tier holds ``fan_in``
-runs, they are merged into one run of files of about the target size, by one
-shuffle of just their rows, until no tier is full. A run whose files are well
-under the target is rewritten so whatever its size and its tier. What runs there are, and
-which files they have, is said by the newest manifest alone: it is written
-under another name and renamed to the next version, which fails if that version
-exists, so readers see a whole version and a writer that lost a race starts
-anew. Files that no kept version names are removed by ``vacuum``.
-
-Defined cases: all columns and rows pass through, nulls and repeated rows
-included; an empty arrival adds no run; a store without runs reads as an empty
-table of the given schema.
+appended as runs of small shards, each shard as a task wrote it. Runs within a
+factor of ``fan_in`` of each other's bytes are a tier; when a tier holds
+``fan_in`` runs, they are merged into one run of files of about the target size,
+by one shuffle of just their rows, until no tier is full. A run whose files are
+well under the target is rewritten so whatever its size and its tier.
+
+What runs there are, and which files they have, is said by the newest manifest
+alone. A manifest is written under another name and then linked or renamed to
+the next version, which fails if that version exists: readers see a whole
+version or none, a writer that dies leaves nothing that others wait for, and one
+that lost a race starts anew from the version that won. On object stores, give
+``root`` a file system whose rename without overwriting is atomic. ``vacuum``
+removes old manifests, the files that no kept version names, and what failed
+writers left.
+
+Defined cases: all columns and rows pass through, nulls, very long texts and
+repeated rows included; columns named like the operator's own (``_weir_arrival``,
+``_weir_deal``) pass through too; an empty arrival adds no run; a store without
+runs reads as an empty table of the given schema.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +35,8 @@ from pyspark.sql.types import StructType
 
 TARGET_BYTES = 64 << 20
 FAN_IN = 4
-_ARRIVAL, _DEAL = "_weir_arrival", "_weir_deal"
+#: Tries of a writer that others keep overtaking.
+TRIES = 20
 
 
 class Conflict(RuntimeError):
@@ -86,17 +94,42 @@ class ShardStore:
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        # create() without overwriting is the lock of a version: file systems whose rename replaces have it too
-        lock = self._path(f"{self.root}/manifests/_v{new['version']:012d}.lock")
+        jvm = self.spark._jvm
         try:
-            self._fs.create(lock, False).close()
+            if self._fs.getScheme() == "file":  # whose rename replaces; a link does not
+                files, at = jvm.java.nio.file.Files, lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+                files.createLink(at(to), at(tmp))
+                self._fs.delete(tmp, False)
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), self.spark._jsc.hadoopConfiguration())
+                never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                context.rename(context.makeQualified(tmp), context.makeQualified(to), never)
         except Exception as e:
             self._fs.delete(tmp, False)
+            if not self._fs.exists(to):
+                raise
             raise Conflict(f"version {new['version']} is taken") from e
-        if self._fs.exists(to) or not self._fs.rename(tmp, to):
-            raise Conflict(f"version {new['version']} is taken")
         return new
 
+    def _commit(self, change) -> dict | None:
+        """Commit what ``change`` makes of the newest runs, anew while others win the race; None if it gives up."""
+        for k in range(TRIES):
+            now = self.manifest()
+            runs = change(now["runs"])
+            if runs is None:
+                return None
+            try:
+                return self.commit(now, runs)
+            except Conflict:
+                time.sleep(0.05 * 2 ** min(k, 6))
+        raise Conflict("other writers kept committing")
+
+    def _free(self, name: str) -> str:
+        """``name``, or one like it, that is no column's."""
+        while name in self.schema.names:
+            name += "_"
+        return name
+
     # writing
 
     def append(self, rows: DataFrame, arrival: Column | None = None) -> dict:
@@ -107,17 +140,15 @@ class ShardStore:
             out.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
             found = [self._run(folder)]
         else:
-            out.withColumn(_ARRIVAL, arrival).write.option("compression", "zstd").partitionBy(_ARRIVAL).parquet(f"{self.root}/{folder}")
-            found = [self._run(f"{folder}/{sub}") for sub in self._folders(folder) if sub.startswith(_ARRIVAL)]
+            name = self._free("_weir_arrival")
+            out.withColumn(name, arrival).write.option("compression", "zstd").partitionBy(name).parquet(f"{self.root}/{folder}")
+            found = [self._run(f"{folder}/{sub}") for sub in self._folders(folder) if sub.startswith(name)]
         now = self.manifest()
         for run in found:
             if run:
-                now = self.commit(now, [*now["runs"], run])
+                now = self._commit(lambda runs: [*runs, run])  # noqa: B023
         return now
 
-    def tier(self, run: dict) -> int:
-        return int(math.log(max(run["bytes"], 1), self.fan_in))
-
     def wanted(self, runs: list[dict]) -> int:
         """How many files of about the target size hold ``runs``."""
         return max(1, round(sum(r["bytes"] for r in runs) / self.target_bytes))
@@ -148,28 +179,54 @@ class ShardStore:
 
     def compact(self) -> dict:
         """Merge until no tier is full; every merge is one new version."""
-        now = self.manifest()
-        while merges := self.plan(now["runs"]):
+        while merges := self.plan(self.manifest()["runs"]):
             merged = merges[0]
             files = self.wanted(merged)
             folder = f"runs/{uuid.uuid4().hex}"
-            rows = self._read(merged)
+            rows, name = self._read(merged), self._free("_weir_deal")
             # dealt by a hash of the whole row, so no key is hot; rows that are alike in all columns are many only by their own size
             deal = F.pmod(F.xxhash64(F.monotonically_increasing_id(), *self.schema.names), F.lit(1 << 20))
-            rows.withColumn(_DEAL, deal).repartition(files, _DEAL).drop(_DEAL).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-            gone = {r["folder"] for r in merged}
-            made = self._run(folder)
-            now = self.commit(now, [*(r for r in now["runs"] if r["folder"] not in gone), *([made | {"wanted": files}] if made else [])])
-        return now
+            rows.withColumn(name, deal).repartition(files, name).drop(name).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+            gone, made = {r["folder"] for r in merged}, self._run(folder)
+
+            def swap(runs: list[dict]) -> list[dict] | None:
+                if not gone <= {r["folder"] for r in runs}:  # noqa: B023
+                    return None  # another writer merged some of these
+                return [*(r for r in runs if r["folder"] not in gone), *([made | {"wanted": files}] if made else [])]  # noqa: B023
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Remove the runs that none of the last ``keep`` versions names."""
+            if self._commit(swap) is None:
+                self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+        return self.manifest()
+
+    def vacuum(self, keep: int = 1, grace_seconds: float = 0) -> None:
+        """Remove all but the last ``keep`` versions and the runs that none of these names.
+
+        Runs of writers that have not committed look like those of writers
+        that died: with writers about, give ``grace_seconds`` that none of
+        them takes longer than.
+        """
         versions = sorted(self.versions())
         named = {r["folder"] for v in versions[-keep:] for r in self.manifest(v)["runs"]}
+        roots = {"/".join(f.split("/")[:2]) for f in named}
+        before = (time.time() - grace_seconds) * 1000
+
+        def drop(path: str) -> None:
+            at = self._path(f"{self.root}/{path}")
+            if self._fs.exists(at) and (not grace_seconds or self._fs.getFileStatus(at).getModificationTime() < before):
+                self._fs.delete(at, True)
+
         for old in versions[:-keep]:
-            for r in self.manifest(old)["runs"]:
-                if r["folder"] not in named:
-                    self._fs.delete(self._path(f"{self.root}/{r['folder']}"), True)
+            drop(f"manifests/v{old:012d}.json")
+        for name, _ in self._list("manifests"):
+            if name.endswith(".tmp"):
+                drop(f"manifests/{name}")
+        for name in self._folders("runs"):
+            if f"runs/{name}" not in roots:
+                drop(f"runs/{name}")
+            elif f"runs/{name}" not in named:
+                for sub in self._folders(f"runs/{name}"):
+                    if f"runs/{name}/{sub}" not in named:
+                        drop(f"runs/{name}/{sub}")
 
     # reading
 
