@@ -27,6 +27,12 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share for intermediate tables.
 
