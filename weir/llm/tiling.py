@@ -10,19 +10,23 @@ marked words is cut off them before they are taken up again, until none of
 and their order is free, so a reordered passage is covered like a straight one.
 A document is contaminated by an item of which tiles cover ``least`` or more.
 
-The items are a stated query set: they go to the tasks in blocks of at most
-``block_chars`` characters, one pass over the documents for each block.
+The items are a stated query set: they go to the tasks in blocks of some
+``block_chars`` characters, one pass over the documents for each block, written
+before the next block is made, so there is one block's index at a time.
 
 Defined cases: null or empty text has no tiles; items without words match
 nothing, items of fewer than ``shortest`` words must stand in the document
-whole; repeated documents or items are judged alike; no items or no documents:
-an empty result.
+whole; of tiles of one length the earliest in the document, then in the item, is
+marked first; repeated documents or items are judged alike; very long texts are
+tiled whole; no items or no documents: an empty result; a column ``_hits`` is
+replaced.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import as_bytes, text_batches
+from .common import as_bytes, discard, stage, text_batches
 from .licences import words_of
 
 SHORTEST = 5
@@ -114,38 +118,47 @@ class Index:
         ends = np.cumsum([len(x) for x in coded])
         flat = np.concatenate(coded) if coded else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(coded)), [len(x) for x in coded])
-        pairs: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
+        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        lengths = np.array([len(x) for x in self.items])
         for size, (hashes, of, at) in self.seeds.items():
             h = windows(flat, size)
             if not len(h):
                 continue
             lo = np.searchsorted(hashes, h)
             hit = np.flatnonzero((hashes[np.minimum(lo, len(hashes) - 1)] == h) & (owner[: len(h)] == owner[size - 1 :]))
-            hi = np.searchsorted(hashes, h[hit], side="right")
-            for p, a, z in zip(hit.tolist(), lo[hit].tolist(), hi.tolist()):
-                doc = int(owner[p])
-                start = p - int(ends[doc]) + len(coded[doc])
-                for j in range(a, z):
-                    pairs[doc, int(of[j]), size].append((start, int(at[j])))
-        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-        for (doc, k, size), seeds in pairs.items():
-            item = self.items[k]
-            if size + len(seeds) - 1 < least * len(item) and size * len(seeds) < least * len(item):
-                continue  # even apart, these seeds cannot cover enough
-            tiles = tile(coded[doc], item, seeds, size)
-            covered = sum(n for n, _, _ in tiles)
-            if covered >= least * len(item):
-                out[doc].append((k, len(item), covered, len(tiles)))
+            lo = lo[hit]
+            many = np.searchsorted(hashes, h[hit], side="right") - lo
+            # document by document, so that what one text shares with all items is held at a time
+            turns = np.flatnonzero(np.diff(owner[hit])) + 1
+            for mine in np.split(np.arange(len(hit)), turns):
+                if not len(mine):
+                    continue
+                doc = int(owner[hit[mine[0]]])
+                n = many[mine]
+                row = np.repeat(lo[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                start = np.repeat(hit[mine] - int(ends[doc]) + len(coded[doc]), n)
+                order = np.argsort(of[row], kind="stable")
+                item, start, place = of[row][order], start[order], at[row][order]
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(item)) + 1, [len(item)]])
+                k, seeds = item[cut[:-1]], np.diff(cut)
+                # even apart, fewer seeds cannot cover enough
+                able = np.maximum(size + seeds - 1, size * seeds) >= least * lengths[k]
+                for j in np.flatnonzero(able).tolist():
+                    tiles = tile(coded[doc], self.items[k[j]], list(zip(start[cut[j] : cut[j + 1]].tolist(), place[cut[j] : cut[j + 1]].tolist())), size)
+                    covered = sum(n for n, _, _ in tiles)
+                    if covered >= least * lengths[k[j]]:
+                        out[doc].append((int(k[j]), int(lengths[k[j]]), covered, len(tiles)))
         return out
 
 
-def blocks(benchmark: DataFrame, block_chars: int, id_col: str, text_col: str) -> list[list[tuple]]:
-    """The items in blocks of bounded size; a block is collected by itself."""
+def blocks(benchmark: DataFrame, block_chars: int, id_col: str, text_col: str) -> Iterator[list[tuple]]:
+    """The items in blocks of bounded size, each collected when it is its turn."""
     items = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_chars))
     part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [[(r["i"], r["t"]) for r in items.where(part == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r["i"], r["t"]) for r in items.where(part == k).collect()]
 
 
 def _finder(held, kind, schema: str, least: float):
@@ -167,10 +180,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, shortest: int = SHOR
     text_batches(spark)
     kind = benchmark.schema[item_id].dataType
     schema = f"array<struct<item_id:{kind.simpleString()},item_words:int,covered:int,tiles:int,coverage:double>>"
-    out = docs.withColumn("_hits", F.array().cast(schema))
+    out, before, held = docs.withColumn("_hits", F.array().cast(schema)), None, None
     for block in blocks(benchmark, block_chars, item_id, item_text):
-        held = spark.sparkContext.broadcast(Index(block, shortest))  # at most block_chars characters
-
+        if held is not None:
+            out = stage(out, "hits")
+            held.destroy()
+            if before is not None:
+                discard(before)
+            before = out
+        held = spark.sparkContext.broadcast(Index(block, shortest))  # some block_chars characters
         out = out.withColumn("_hits", F.concat("_hits", _finder(held, kind, schema, least)(text_col)))
     return out
 
