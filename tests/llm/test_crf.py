@@ -73,3 +73,35 @@ def test_awkward(awkward, on_table):
 
 def test_empty(nothing, on_table):
     assert len(on_table(op2_crf, nothing)) == 0
+
+
+def test_short_texts_teach(spark, on_table):
+    """Titles of a few words, one language with no text longer than that."""
+    rows = [(i, f"the {w} house", "en") for i, w in enumerate("red big old new far tall wide".split() * 6)]
+    rows += [(100 + i, "δ" * (1 + i % 4) + "λ", "el") for i in range(30)]
+    got = on_table(op2_crf, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = {i: y for i, _, y in rows}
+    assert (got.lang_pred == got.doc_id.map(want)).mean() > 0.95
+
+
+def test_ties_and_own_names(spark):
+    m = Model(["a", "b"], np.zeros((3 * crf.BUCKETS, 2), np.float32), np.ones((2, 2)), np.ones(2))
+    docs = spark.createDataFrame([(1, "word", "x")], "doc_id long, text string, _lang string")
+    (row,) = crf.identify(docs, m).collect()
+    assert row["_lang"]["lang_pred"] == "a" and row["_lang"]["score"] == 0.5
+
+
+def test_labels_are_those_of_all_labellings():
+    """Predictions of whole texts against adding up all labellings."""
+    d = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
+    m = crf.train([(t, y) for t, y in zip(d.text[:100], d.lang[:100])], rounds=10)
+    texts = [" ".join(t.split()[i : i + 6]) for i, t in enumerate(d.text[100:120])]
+    langs, score = m.predict(texts)
+    for text, lang, s in zip(texts, langs, score):
+        words = crf.words_of(text)
+        if not words:
+            assert lang == "und" and s == 0
+            continue
+        e = crf._soft(crf.emissions(m.weights, *crf.features(np.array(words, dtype=object)), len(words))).astype(float)
+        sums = brute(e, m.step, m.start).sum(0)
+        assert lang == m.labels[int(sums.argmax())] and np.isclose(s, sums.max() / len(words), atol=1e-6)
