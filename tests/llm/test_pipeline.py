@@ -4,7 +4,7 @@ import pandas as pd
 
 import corpus_pipeline
 from tests.llm.test_quality import brute as quality_brute
-from weir.llm.simhash import fingerprints_of
+from tests.llm.test_shingles import brute as similar
 
 
 def test_stages_in_order(spark, sf, docs):
@@ -20,22 +20,10 @@ def test_stages_in_order(spark, sf, docs):
     kept, single, clean, mixed, written = steps
     text = dict(zip(docs.doc_id, docs.text))
     assert all(not quality_brute(t)[-1] for t in kept.text)
-    # near duplicates: what stays has no two fingerprints within 3 bits, what went has a chain to what stays
+    # near duplicates: of what chains of pairs of similarity 0.8 or more connect, the smallest id stays
     ids = sorted(kept.doc_id)
-    fp = dict(zip(ids, fingerprints_of([text[i].encode() for i in ids], corpus_pipeline.SHINGLE).tolist()))
-    up = {i: i for i in ids}
-
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for j, a in enumerate(ids):
-        for b in ids[:j]:
-            if (fp[a] ^ fp[b]).bit_count() <= 3:
-                x, y = top(a), top(b)
-                up[max(x, y)] = min(x, y)
-    assert sorted(single.doc_id) == [i for i in ids if top(i) == i]
+    tops, _ = similar([text[i] for i in ids])
+    assert sorted(single.doc_id) == [i for k, i in enumerate(ids) if tops[k] == k]
     bench = pd.read_parquet(f"{sf}/benchmark.parquet")
     leaked = {i for i in single.doc_id if any(t in text[i] for t in bench.text)}
     assert set(clean.doc_id) <= set(single.doc_id) - leaked and len(single) - len(clean) < len(leaked) + 5

@@ -1,18 +1,24 @@
-"""Near copies by the Jaccard similarity of word-shingle sets, each link confirmed exactly.
-
-Distinct shingle sets, never documents, are searched. A set has ``BANDS`` keys,
-each made of the least values of ``ROWS`` hashes of its shingles. Sets of
-similarity s agree on a hash with chance s, so two of 0.8 share no key with
-chance (1 - 0.8^4)^20, under 3 in 100,000, and those more alike less often.
-Sets that share a key meet in a shard, which compares them: pairs that cannot
-reach the similarity by their sizes or by the distance of their SimHash
-fingerprints are left out, all others are intersected, except those which
-links already connect. So a shard of m sets yields under m links, whatever its
-size. Shards of over ``split_at`` sets are dealt again by one more key.
+"""SimHash near-duplicates by similarity: BK-trees of fingerprints, each link confirmed by the exact Jaccard similarity of word-shingle sets.
+
+Fingerprints of sets of similarity 0.8 differ in 9.7 of 64 bits with a
+deviation of 2.9, so a radius of ``RADIUS`` misses none. Blocks of equal bits
+cannot deal fingerprints for such a radius; here a shard is a key that the
+sets share. A set has ``BANDS`` keys, each made of the least values of
+``ROWS`` hashes of its shingles. Sets of similarity s agree on a hash with
+chance s, so two of 0.8 share no key with chance (1 - 0.8^4)^20, under 3 in
+100,000, and those more alike less often. What chains of shared keys connect is
+one shard, so its texts move once; where that is more than ``split_at`` sets or
+``HEAVY`` shingles, each of its keys is a shard, and keys that are still too
+large are dealt again by one more key. A shard is a BK-tree; what a fingerprint
+finds there within the radius is intersected, nearest first, except what links
+already connect. So a shard of m sets yields under m links, whatever its size.
+Distinct shingle sets, never documents, are searched.
 
 Defined cases: null or wordless text has the empty set, and all of these are
 one component; fewer words than a shingle: the whole sequence is the shingle;
-rows with equal sets share a component; an empty table gives an empty result.
+rows with equal sets share a component; very long texts are hashed whole;
+columns ``_row``, ``_node``, ``_size`` and ``_bands`` are replaced; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .common import as_bytes, components, discard, partitions, stage, text_batches
+from .simhash import BKTree
 
 LEAST = 0.8
 BANDS, ROWS = 20, 4
-SPLIT_AT = 4096
-#: Fingerprints of sets of ``SHORT`` shingles or more, of similarity 0.8, differ in 9.7 bits with a deviation of 2.9.
-RADIUS, SHORT = 28, 64
+SPLIT_AT, HEAVY = 4096, 4_000_000
+#: Over the mean by six deviations; by five for the shortest sets that can be this similar without being equal, of four and five shingles.
+RADIUS = 28
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 ROW, COMPONENT = "_row", "_component"
@@ -66,39 +73,41 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def similar_links(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of ``sets`` whose similarity is ``least`` or more."""
-    sizes = np.array([len(s) for s in sets])
+    sizes = [len(s) for s in sets]
     ends = np.cumsum(sizes)
     distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
     own = [codes[z - n : z] for z, n in zip(ends, sizes)]
-    inside, of, out = np.zeros(len(distinct), dtype=bool), np.arange(len(sets)), []
-    for i in range(1, len(sets)):
-        before, n = sizes[:i], sizes[i]
-        apart = np.bitwise_count(fps[:i] ^ fps[i])
-        may = np.minimum(before, n) >= least * np.maximum(before, n)
-        if n >= SHORT:
-            may &= (apart <= RADIUS) | (before < SHORT)
-        todo = np.flatnonzero(may)
-        if not len(todo):
-            continue
-        todo = todo[np.argsort(apart[todo], kind="stable")]
+    inside, up, out = np.zeros(len(distinct), dtype=bool), list(range(len(sets))), []
+    tree, at = BKTree(), {}
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, (fp, n) in enumerate(zip(fps.tolist(), sizes)):
+        near = sorted(tree.insert(fp, RADIUS), key=lambda x: (x ^ fp).bit_count())  # noqa: B023
+        found = [j for x in near for j in at[x] if min(n, sizes[j]) >= least * max(n, sizes[j])]
+        at.setdefault(fp, []).append(i)
         inside[own[i]] = True
-        while len(todo):
-            j, todo = todo[0], todo[1:]
-            both = np.count_nonzero(inside[own[j]])
-            if both >= least * (n + sizes[j] - both):
-                out.append((int(nodes[i]), int(nodes[j])))
-                of[: i + 1][of[: i + 1] == of[j]] = of[i]
-                todo = todo[of[todo] != of[i]]
+        for j in found:
+            if top(i) != top(j):
+                both = np.count_nonzero(inside[own[j]])
+                if both >= least * (n + sizes[j] - both):
+                    out.append((int(nodes[i]), int(nodes[j])))
+                    up[top(i)] = top(j)
         inside[own[i]] = False
     return out
 
 
 def marked(docs: DataFrame, width: int, text_col: str) -> DataFrame:
-    """The rows with a key of the row, of its shingle set, and the set's bands; an empty set has no bands."""
+    """The rows with a key of the row, of its shingle set, the set's size and bands; an empty set has no bands."""
     text_batches(docs.sparkSession)
+    docs = docs.drop(ROW, "_node", "_size", "_bands")
     at = docs.columns.index(text_col)
     rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    schema = StructType([*rows.schema.fields]).add("_node", LongType()).add("_bands", ArrayType(LongType()))
+    schema = StructType([*rows.schema.fields]).add("_node", LongType()).add("_size", LongType()).add("_bands", ArrayType(LongType()))
 
     def run(batches):
         for b in batches:
@@ -108,54 +117,54 @@ def marked(docs: DataFrame, width: int, text_col: str) -> DataFrame:
             keys = band_keys(full).view(np.int64).ravel() if full else np.zeros(0, np.int64)
             ends = np.cumsum([0, *(BANDS if len(s) else 0 for s in sets)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes), bands], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes), pa.array(list(map(len, sets)), pa.int64()), bands], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def _links(rows: DataFrame, names: DataFrame, width: int, text_col: str, least: float, split_at: int) -> DataFrame:
     """Rows (a, b): links among the distinct sets of ``rows``; ``names`` has one row's key for each."""
-    one = rows.select(ROW, "_node", "_bands").join(names.select(ROW), ROW, "left_semi")
-    first = stage(one.select(ROW, "_node", F.posexplode("_bands").alias("shard", "key")), "bands")
-    counts = first.groupBy("shard", "key").agg(F.count("*").alias("n")).where("n > 1")
+    spark = rows.sparkSession
+    one = rows.select(ROW, "_node", "_size", "_bands").join(names.select(ROW), ROW, "left_semi")
+    first = stage(one.select("_node", "_size", F.posexplode("_bands").alias("shard", "key")), "bands")
+    held = F.count("*").alias("n"), F.sum("_size").alias("heavy")
+    large = (F.col("n") > split_at) | (F.col("heavy") > HEAVY)
+    counts = first.groupBy("shard", "key").agg(*held, F.min("_node").alias("hub")).where("n > 1")
     crowded = stage(first.join(counts, ["shard", "key"]), "shards")
-    small = crowded.where(F.col("n") <= split_at).select("_node", "shard", "key")
-    big, others = crowded.where(F.col("n") > split_at), first.select("_node", F.col("shard").alias("j"), F.col("key").alias("more"))
-    again = big.join(others, "_node").where("shard <> j").select("_node", (F.lit(BANDS) + F.col("shard") * BANDS + F.col("j")).alias("shard"), F.xxhash64("key", "more").alias("key"))
-    text_batches(rows.sparkSession)
-
-    def whole(batches):
-        for b in batches:
-            sets = [hashes_of(t, width) for t in as_bytes(b.column(1))]
-            fps = np.array([fingerprint(s) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_node", "fp", "hashes"])
-
-    texts = rows.select(ROW, "_node", text_col).join(crowded.select(ROW).distinct(), ROW, "left_semi").select("_node", text_col)
-    sets = stage(texts.mapInArrow(whole, "_node long, fp long, hashes binary"), "sets")
-    dealt = small.union(again).join(sets, "_node").select("shard", "key", "_node", "fp", "hashes")
-    dealt = dealt.repartition(partitions(rows.sparkSession), "shard", "key").sortWithinPartitions("shard", "key", "_node")
+    met = components(crowded.where("_node <> hub").select(F.col("_node").alias("a"), F.col("hub").alias("b")))
+    own = first.where("shard = 0").select("_node", "_size").join(met.withColumnRenamed("node", "_node"), "_node")
+    groups = own.groupBy("root").agg(*held).where("n > 1").select("root", large.alias("large"))
+    group = stage(own.join(groups, "root").select("_node", "root", "large"), "groups")
+    whole = group.where("not large").select("_node", F.lit(-1).alias("shard"), F.col("root").alias("key"))
+    some = crowded.join(group.where("large").select("_node"), "_node", "left_semi")
+    others = first.select("_node", F.col("shard").alias("j"), F.col("key").alias("more"))
+    again = some.where(large).join(others, "_node").where("shard <> j").select("_node", (F.lit(BANDS) + F.col("shard") * BANDS + F.col("j")).alias("shard"), F.xxhash64("key", "more").alias("key"))
+    deal = whole.union(some.where(~large).select("_node", "shard", "key")).union(again)
+    texts = rows.select(ROW, F.col(text_col).alias("text")).join(names.join(group.select("_node"), "_node", "left_semi"), ROW).select("_node", "text")
+    text_batches(spark)
+    dealt = deal.join(texts, "_node").select("shard", "key", "_node", "text").repartition(partitions(spark), "shard", "key").sortWithinPartitions("shard", "key", "_node")
 
     def run(batches):
-        shard, nodes, fps, sets = None, [], [], []
+        shard, nodes, sets = None, [], []
 
         def found():
-            links = similar_links(np.array(nodes), np.array(fps, dtype=np.int64).view(np.uint64), sets, least) if len(nodes) > 1 else []
-            x = np.array(links, dtype=np.int64).reshape(-1, 2)
+            fps = np.array([fingerprint(s) for s in sets], dtype=np.uint64)
+            x = np.array(similar_links(np.array(nodes), fps, sets, least), dtype=np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["a", "b"])
 
         for b in batches:
-            for s, k, node, fp, held in zip(*(c.to_pylist() for c in b.columns)):
+            for s, k, node, text in zip(*(c.to_pylist() for c in b.columns[:3]), as_bytes(b.column(3))):
                 if (s, k) != shard:
                     if len(nodes) > 1:
                         yield found()
-                    shard, nodes, fps, sets = (s, k), [], [], []
-                nodes.append(node), fps.append(fp), sets.append(np.frombuffer(held, dtype=np.uint64))
+                    shard, nodes, sets = (s, k), [], []
+                nodes.append(node), sets.append(hashes_of(text, width))
         if len(nodes) > 1:
             yield found()
 
     # components() reads the links twice
     links = stage(dealt.mapInArrow(run, "a long, b long"), "links")
-    discard(first, crowded, sets)
+    discard(first, crowded, group)
     return links
 
 
@@ -169,7 +178,7 @@ def grouped(docs: DataFrame, *, width: int = 5, least: float = LEAST, split_at:
 def near_copies(docs: DataFrame, **options) -> DataFrame:
     """Rows (``ROW``, ``COMPONENT``) beside the columns of ``docs``: a key of the row, and one of the group of near copies that it is in."""
     rows, roots = grouped(docs, **options)
-    return rows.join(roots, rows["_node"] == roots.node, "left").select(*docs.columns, ROW, F.coalesce("root", "_node").alias(COMPONENT))
+    return rows.join(roots, rows["_node"] == roots.node, "left").select(*(c for c in docs.columns if c != ROW), ROW, F.coalesce("root", "_node").alias(COMPONENT))
 
 
 def firsts(docs: DataFrame, rank: list, **options) -> DataFrame:
