@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import scratch, stage
+from weir.llm.common import read_if_there, scratch, stage
 from weir.llm.compaction import shard
 from weir.llm.mixing import mix
 from weir.llm.quality import filter_quality
@@ -25,28 +25,44 @@ SHINGLE, SIMILAR = 5, 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the weak-supervision posterior calls good."""
-    return filter_quality(docs)
+    """Keep what the weak-supervision posterior calls good.
+
+    Null and wordless texts go, as too short; an empty table stays empty;
+    columns named ``_q`` or ``_q_*`` are not taken for measures.
+    """
+    return filter_quality(docs, read_if_there(spark, f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group: that of the smallest id, null ids last; of rows with one id, the one with the smallest hash."""
+    """Keep one row of each group: that of the smallest id, null ids last; of rows with one id, the one with the smallest hash.
+
+    Null and wordless texts are one group; distinct texts with null or equal
+    ids stay apart; an empty table stays empty.
+    """
     rank = [F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), F.xxhash64(*docs.columns).alias("all")]
     return firsts(docs, rank, width=SHINGLE, least=SIMILAR)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what covers a benchmark item."""
+    """Drop what covers a benchmark item. Null and empty texts cover none; no items or no rows: all stay."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources meet their target weights."""
+    """Repeat or leave out documents so that sources meet their target weights.
+
+    A null source is one of its own; texts without words are taken no times;
+    rows with one id are taken alike; an empty table stays empty.
+    """
     return mix(docs).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write compacted shards; one row for each document written, with its shard and the manifest's version."""
+    """Write compacted shards; one row for each document written, with its shard and the manifest's version.
+
+    All columns and rows pass, nulls and repeated rows included; an empty table
+    gives no shards and no rows.
+    """
     return shard(docs, f"{scratch(spark)}/corpus-{uuid.uuid4().hex}").shards("doc_id", "source", "n_chars")
 
 
