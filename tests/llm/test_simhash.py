@@ -44,6 +44,16 @@ def test_tree_finds_what_brute_force_finds():
     assert len(shard_links(members, 3)) == len(members) - len(set(components(members)))
 
 
+def test_large_shards_are_parted_and_linked_alike():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    members = sorted({int(b) ^ sum(1 << int(k) for k in set(rng.integers(0, 64, int(rng.integers(0, 6))).tolist())) for b in base for _ in range(10)})
+    for split_at in (1, 5, 50, 4096):
+        found = shard_links(members, 3, split_at)
+        assert all((a ^ b).bit_count() <= 3 for a, b in found)
+        assert len(found) == len(members) - len(set(components(members)))
+
+
 def test_links_connect_alike_when_shards_are_split(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 8, dtype=np.uint64)

@@ -11,9 +11,9 @@ link to each component of the shard that it touches, so a shard of m
 fingerprints yields under m links, whatever its size, and connectivity is
 exact. Shards with more than ``split_at`` fingerprints are dealt again by
 blocks of their remaining bits, which keeps every link by the same argument,
-and again, until none is larger or so few bits remain that no shard can be:
-thus no group of near copies, however dense, meets in one tree. Trees are
-built where their shard is dealt and not broadcast, as they grow with the data.
+and a task parts what is still larger in the same way, as long as that is less
+work than one tree. A shard holds 64-bit numbers, never texts. Trees are built
+where their shard is dealt and not broadcast, as they grow with the data.
 
 Defined cases: null or wordless text has fingerprint zero, linked like any
 other; fewer words than a shingle: the whole sequence is the shingle; repeated
@@ -24,7 +24,6 @@ their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,7 +36,6 @@ from .common import as_bytes, components, partitions, stage, text_batches
 
 SEED = 42
 BLOCKS = 5
-_ALL = (1 << 64) - 1
 SPLIT_AT = 4096
 _POWERS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
@@ -129,12 +127,14 @@ class BKTree:
         return found
 
 
-def shard_links(members: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within ``radius`` among distinct ``members``."""
-    if len(members) == 2:
-        a, b = members
-        return [(a, b)] if (a ^ b).bit_count() <= radius else []
-    tree, up, links = BKTree(), {x: x for x in members}, []
+def shard_links(members: list[int], radius: int, split_at: int = SPLIT_AT) -> list[tuple[int, int]]:
+    """A spanning forest of the links within ``radius`` among distinct ``members``.
+
+    More than ``split_at`` members are parted by each of ``radius`` + 1 runs of
+    the bits in which they differ, on one of which a link's ends agree, as
+    long as that makes the trees less work.
+    """
+    up, links = {x: x for x in members}, []
 
     def top(x: int) -> int:
         while up[x] != x:
@@ -142,38 +142,47 @@ def shard_links(members: list[int], radius: int) -> list[tuple[int, int]]:
             x = up[x]
         return x
 
-    for x in members:
-        for y in tree.insert(x, radius):
-            a, b = top(x), top(y)
-            if a != b:
-                up[a] = b
-                links.append((x, y))
+    todo = [members]
+    while todo:
+        own = todo.pop()
+        if len(own) > split_at:
+            differ = 0
+            for x in own:
+                differ |= x ^ own[0]
+            parts: list[list[int]] = []
+            for run in _masks([b for b in range(64) if differ >> b & 1], radius + 1, 1):
+                groups: dict[int, list[int]] = {}
+                for x in own:
+                    groups.setdefault(x & run, []).append(x)
+                parts += [g for g in groups.values() if len(g) > 1]
+            if 2 * sum(len(g) ** 2 for g in parts) < len(own) ** 2:
+                todo += parts
+                continue
+        tree = BKTree()
+        for x in own:
+            for y in tree.insert(x, radius):
+                a, b = top(x), top(y)
+                if a != b:
+                    up[a] = b
+                    links.append((x, y))
     return links
 
 
 def links(distinct: DataFrame, *, radius: int = 3, blocks: int = BLOCKS, split_at: int = SPLIT_AT) -> DataFrame:
     """Rows (a, b): links that connect just what the distinct ``fp`` within ``radius`` connect."""
     spark = distinct.sparkSession
-    masks = [_signed(m) for m in _masks(list(range(64)), blocks, blocks - radius)]
-    dealt = distinct.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
-    parts = []
-    while masks:
-        # a shard's members agree on its mask, so those of one mask with few other bits are few
-        open_ = [m for m in masks if radius < 64 - (m & _ALL).bit_count() and split_at >> 64 - (m & _ALL).bit_count() == 0]
-        dealt = stage(dealt.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))), "shards")
-        counts = stage(dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-        crowded = dealt.join(counts, ["mask", "key"])
-        large = counts.where((F.col("n") > split_at) & F.col("mask").isin(open_)) if open_ else counts.limit(0)
-        masks = [r[0] for r in large.select("mask").distinct().collect()]
-        again = F.col("mask").isin(masks) & (F.col("n") > split_at) if masks else F.lit(False)
-        parts.append(crowded.where(~again).select("mask", "key", "fp"))
-        # members differ in at most ``radius`` of the remaining bits, so they agree on one of ``radius`` + 1 runs of these
-        finer = [(m, [_signed(m & _ALL | x) for x in _masks([b for b in range(64) if not m >> b & 1], radius + 1, 1)]) for m in masks]
-        if finer:
-            more = F.broadcast(spark.createDataFrame(finer, "mask long, finer array<long>"))  # a row per mask: at most C(blocks, radius) * (radius + 1)^levels
-            dealt = crowded.where(again).select("mask", "fp").join(more, "mask").select("fp", F.explode("finer").alias("mask"))
-            masks = [x for _, own in finer for x in own]
-    dealt = reduce(DataFrame.union, parts).repartition(partitions(spark), "mask", "key").sortWithinPartitions("mask", "key", "fp")
+    masks = _masks(list(range(64)), blocks, blocks - radius)
+    # the level-two masks: a shard's members agree on its mask already, so they differ in the remaining bits only
+    finer = [[m | x for x in _masks([b for b in range(64) if not m >> b & 1], radius + 1, 1)] for m in masks]
+    first = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("shard", "key"))
+    first = stage(first, "shards")
+    counts = first.groupBy("shard", "key").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = first.join(counts, ["shard", "key"])
+    small = crowded.where(F.col("n") <= split_at).select("shard", "key", "fp")
+    pick = F.element_at(F.array(*[F.array(*[F.lit(_signed(x)) for x in own]) for own in finer]), F.col("shard") + 1)
+    again = crowded.where(F.col("n") > split_at).select(F.col("shard").alias("s"), "fp", F.posexplode(pick).alias("j", "mask"))
+    again = again.select((F.lit(len(masks)) + F.col("s") * len(finer[0]) + F.col("j")).alias("shard"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    dealt = small.union(again).repartition(partitions(spark), "shard", "key").sortWithinPartitions("shard", "key", "fp")
 
     def run(batches):
         shard, members = None, []
@@ -186,14 +195,14 @@ def links(distinct: DataFrame, *, radius: int = 3, blocks: int = BLOCKS, split_a
                     continue
                 if (s[lo], k[lo]) != shard:
                     if len(members) > 1:
-                        out += shard_links(members, radius)
+                        out += shard_links(members, radius, split_at)
                     shard, members = (s[lo], k[lo]), []
                 members += f[lo:hi].view(np.uint64).tolist()
             if out:
                 yield _pairs(out)
                 out = []
         if len(members) > 1:
-            out += shard_links(members, radius)
+            out += shard_links(members, radius, split_at)
         if out:
             yield _pairs(out)
 
