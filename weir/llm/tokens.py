@@ -30,9 +30,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from codecs import charmap_decode
 from itertools import chain
-from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -176,23 +174,18 @@ def read_frame(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(x) for x, z in zip(known, null)], lengths, unpack(words, offsets, n)
 
 
-#: The signs that stand for bytes in a byte-level vocabulary: printable bytes for themselves, the others for 256 and on.
-_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_HIDDEN = dict(zip((b for b in range(256) if b not in set(_SHOWN)), range(256, 512)))
-_SIGNS = "".join(chr(_HIDDEN.get(b, b)) for b in range(256))
-
-
 class Encoder:
     """Texts to their ids, by way of distinct chunks.
 
-    A chunk of a space and letters is one pretoken, so the vocabulary's merges
-    are applied to it alone; marks after letters begin a pretoken of their own,
-    as do a line's end between other characters and the letters after it.
+    New chunks are encoded side by side, many in one text, and told apart by
+    the bytes that each id stands for.
     """
 
     #: Known chunks, and their ids, after which a worker begins anew.
     KEEP, KEEP_IDS = 900_000, 8_000_000
     LONGEST = 48
+    #: Chunks that are encoded as one text.
+    LOT = 64
 
     def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -201,61 +194,53 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         added = [] if special_as_text else list(self.tokenizer.get_added_tokens_decoder().values())
-        self.special = [t.content for t in added]
         self.forget()
-        tries = ["word", "Éöß", "漢字", "x"]
-        self.by_chunks = not any(" " in t.content or t.lstrip or t.rstrip or t.single_word or t.normalized for t in added) and [self._letters(" " + x) for x in tries] == self.plain([" " + x for x in tries])
+        #: By id the number of bytes it stands for: a byte-level vocabulary writes each byte as one sign.
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.bytes_of[i] = len(token)
+        for t in added:
+            self.bytes_of[self.tokenizer.token_to_id(t.content)] = len(t.content.encode())
+        tries = [b" word", " Éöß,".encode(), " 漢字\nab".encode(), b" x"]
+        plain_added = not any(" " in t.content or t.lstrip or t.rstrip or t.single_word or t.normalized for t in added)
+        self.by_chunks = plain_added and self._side_by_side(tries) == self.plain([x.decode() for x in tries])
 
     def forget(self) -> None:
         self.code: dict[bytes, int] = {}
         #: By code: where a chunk's ids start, how many it has, and whether no space may follow it: it is empty or ends with white space.
         self.start, self.size, self.open = (np.zeros(1 << 16, k) for k in (np.int64, np.int64, bool))
         self.ids, self.n_codes, self.n_ids = np.zeros(1 << 18, np.uint32), 0, 0
-        self.words: tuple[dict[str, list[int]], dict[str, list[int]]] = {}, {}
-        self.marks: dict[str, list[int]] = {}
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _letters(self, word: str) -> list[int]:
-        signs = charmap_decode(word.encode(), "strict", _SIGNS)[0]
-        return [t.id for t in self.tokenizer.model.tokenize(signs)]
-
-    def _mark(self, x: str) -> list[int]:
-        if x not in self.marks:
-            self.marks[x] = self.plain([x])[0]
-        return self.marks[x]
-
-    def _word(self, x: str, led: bool) -> list[int] | None:
-        """The ids of letters with marks after them, if ``x`` is no more than that."""
-        core = x.rstrip(punctuation)
-        if not core.isalpha():
-            return None
-        known = self.words[led]
-        ids = known.get(core)
-        if ids is None:
-            ids = known[core] = self._letters(" " + core if led else core)
-        return ids + self._mark(x[len(core) :]) if len(core) < len(x) else ids
-
-    def _chunk(self, x: str) -> list[int] | None:
-        """The ids of a chunk that is led by a space, if it is lines of words."""
-        if x[0] != " " or any(t in x for t in self.special):
-            return None
-        first, *more = x[1:].split("\n")
-        ids = self._word(first, True)
-        for y in more:
-            next_ = self._word(y, False)
-            if ids is None or next_ is None:
+    def _side_by_side(self, chunks: list[bytes]) -> list[list[int]] | None:
+        """The ids of chunks that are led by a space and don't end with one; None if ids don't fall apart at the chunks."""
+        lots = [chunks[i : i + self.LOT] for i in range(0, len(chunks), self.LOT)]
+        out = []
+        for lot, ids in zip(lots, self.plain([b"".join(x).decode() for x in lots])):
+            reach = np.cumsum(self.bytes_of[ids])
+            ends = np.cumsum([len(x) for x in lot])
+            cut = np.searchsorted(reach, ends)
+            if cut[-1] + 1 != len(ids) or (reach[cut] != ends).any():
                 return None
-            ids = ids + self._mark("\n") + next_
-        return ids
+            last = 0
+            for z in (cut + 1).tolist():
+                out.append(ids[last:z])
+                last = z
+        return out
 
     def _learn(self, chunks: list[bytes]) -> list[int]:
         """New codes of ``chunks``."""
-        texts = [x.decode() for x in chunks]
-        found = [self._chunk(x) for x in texts]
-        rest = [i for i, x in enumerate(found) if x is None]
-        for i, ids in zip(rest, self.plain([texts[i] for i in rest])):
+        # text that a space may follow, and that is led by one
+        shut = [x[-1] > 32 and (x[-1] < 128 or not x.decode()[-1].isspace()) for x in chunks]
+        even = [i for i, x in enumerate(chunks) if shut[i] and x[0] == 32]
+        odd = [i for i, x in enumerate(chunks) if not (shut[i] and x[0] == 32)]
+        found: list[list[int]] = [[]] * len(chunks)
+        for i, ids in zip(even, self._side_by_side([chunks[i] for i in even]) or self.plain([chunks[i].decode() for i in even])):
+            found[i] = ids
+        for i, ids in zip(odd, self.plain([chunks[i].decode() for i in odd])):
             found[i] = ids
         first, n = self.n_codes, len(chunks)
         sizes = np.fromiter(map(len, found), np.int64, n)
@@ -266,7 +251,7 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.start[first : first + n] = self.n_ids + np.cumsum(sizes) - sizes
         self.size[first : first + n] = sizes
-        self.open[first : first + n] = [x == " " or x[-1].isspace() for x in texts]
+        self.open[first : first + n] = ~np.array(shut, dtype=bool)
         self.ids[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.n_codes, self.n_ids = first + n, self.n_ids + total
         return list(range(first, first + n))
