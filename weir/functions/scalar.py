@@ -6,6 +6,7 @@ the builder closes the gap inside the expression, so plans stay in the JVM.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -111,8 +112,7 @@ def div(a, b) -> Column:
 
 
 def _div(a: Column, b: Column) -> Column:
-    a, b = a.cast("long"), b.cast("long")
-    return ((a - a % b) / b).cast("long")
+    return F.call_function("div", a, b)
 
 
 def mod(a, b) -> Column:
@@ -181,13 +181,15 @@ def sec(x) -> Column:
 
 
 def ceil(x) -> Column:
-    """A float stays a float."""
-    return F.ceil(col(x)).cast("double")
+    """A float stays a float and a decimal a decimal, whatever their size."""
+    x = col(x)
+    return F.when(is_inf(x), x).otherwise(x + F.pmod(-x, F.lit(1)))
 
 
 def floor(x) -> Column:
-    """A float stays a float."""
-    return F.floor(col(x)).cast("double")
+    """A float stays a float and a decimal a decimal, whatever their size."""
+    x = col(x)
+    return F.when(is_inf(x), x).otherwise(x - F.pmod(x, F.lit(1)))
 
 
 def round_(x, digits: int = 0, mode: str = "ROUND_HALF_AWAY_FROM_ZERO") -> Column:
@@ -195,9 +197,12 @@ def round_(x, digits: int = 0, mode: str = "ROUND_HALF_AWAY_FROM_ZERO") -> Colum
 
 
 def trunc(x, digits: int = 0) -> Column:
-    """Toward zero."""
-    x, scale = col(x), F.lit(float(10**digits))
-    return F.signum(x) * F.floor(F.abs(x) * scale) / scale
+    """Toward zero; a float stays a float and a decimal a decimal, cut exactly."""
+    x = col(x)
+    if not digits:
+        return x - x % 1
+    near, step = F.round(x, digits), F.lit(Decimal(1).scaleb(-digits))
+    return F.round(F.when(F.abs(near) > F.abs(x), near - F.when(x < 0, -step).otherwise(step)).otherwise(near), digits)
 
 
 def to_int64(x) -> Column:
@@ -243,11 +248,14 @@ def strpos(x, sub) -> Column:
 
 
 def instr(x, sub, position: int = 1, occurrence: int = 1) -> Column:
-    """Place of an occurrence at or after a position; 0 if none."""
-    at = F.locate(sub, col(x), position)
-    for _ in range(occurrence - 1):
-        at = F.when(at > 0, F.call_function("locate", F.lit(sub), col(x), at + 1)).otherwise(0)
-    return at.cast("long")
+    """Place of an occurrence at or after a position, or at or before one counted from the end; 0 if none."""
+    x = col(x)
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.substring(x, i, F.lit(len(sub))) == sub)
+    if position > 0:
+        at = F.try_element_at(F.filter(places, lambda i: i >= position), F.lit(occurrence))
+    else:
+        at = F.try_element_at(F.filter(places, lambda i: i <= F.length(x) + position + 1), F.lit(-occurrence))
+    return F.when(x.isNotNull(), F.coalesce(at, F.lit(0)).cast("long"))
 
 
 def substr(x, position: int, length: int | None = None) -> Column:
@@ -399,8 +407,10 @@ def sha512(x) -> Column:
 
 
 def contains_substr(x, sub: str) -> Column:
-    """Without regard to case."""
-    return F.contains(F.lower(col(x)), F.lit(sub.lower()))
+    """Without regard to case and to forms that Unicode holds equal (NFKC, folded)."""
+    from .udfs import NAMED, _fold
+
+    return F.contains(NAMED["weir_fold"](col(x)), F.lit(_fold(sub)))
 
 
 # arrays
@@ -455,8 +465,8 @@ def json_query(x, path: str = "$") -> Column:
 
 def json_value(x, path: str = "$") -> Column:
     """Scalars only."""
-    found = F.get_json_object(col(x), path)
-    return F.when(~found.rlike(r"^\s*[\[{]"), found)
+    found = F.try_variant_get(F.try_parse_json(col(x)), path, "variant")
+    return F.when(~F.schema_of_variant(found).rlike("^(OBJECT|ARRAY)"), F.try_variant_get(found, "$", "string"))
 
 
 def json_value_array(x, path: str = "$") -> Column:

@@ -80,14 +80,14 @@ def datetime_diff(a: Value, b: Value, part: str) -> Column:
     if part not in MICROS or part == "DAY":
         return date_diff(a, b, part)
     unit = F.lit(MICROS[part])
-    floor = lambda x: F.floor(_micros(col(x)) / unit).cast("long")
-    return floor(a) - floor(b) if part != "MICROSECOND" else _micros(col(a)) - _micros(col(b))
+    floor = lambda x: F.call_function("div", _micros(col(x)) - F.pmod(_micros(col(x)), unit), unit)
+    return floor(a) - floor(b)
 
 
 def timestamp_diff(a: Value, b: Value, part: str) -> Column:
     """Whole units, toward zero."""
     gap = _micros(col(a)) - _micros(col(b))
-    return ((gap - gap % F.lit(MICROS[part])) / F.lit(MICROS[part])).cast("long")
+    return F.call_function("div", gap, F.lit(MICROS[part]))
 
 
 def date_add(x: Value, n, part: str = "DAY") -> Column:

@@ -23,9 +23,9 @@ def q_percentile_disc(spark, d):
     return ranked.where(F.col("r") == F.ceil(F.col("n") * 0.25)).select("o_orderpriority", F.col("o_custkey").alias("p"))
 
 
-@query("SELECT n_regionkey, [list_sort(list(n_nationkey))[greatest(1, CAST(ceil(i * count(*) / 4.0) AS BIGINT))] for i in [0, 1, 2, 3, 4]] AS q FROM nation GROUP BY n_regionkey")
+@query("SELECT o_orderpriority, [list_sort(list(o_custkey))[greatest(1, CAST(ceil(i * count(*) / 4.0) AS BIGINT))] for i in [0, 1, 2, 3, 4]] AS q FROM orders GROUP BY o_orderpriority")
 def q_approx_quantiles(spark, d):
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(A.approx_quantiles("n_nationkey", 4).alias("q"))
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(A.approx_quantiles("o_custkey", 4).alias("q"))
 
 
 @query("SELECT o_orderpriority, list({'value': k, 'sum': round(s, 2)} ORDER BY s DESC) [1:3] AS top FROM (SELECT o_orderpriority, o_custkey AS k, sum(o_totalprice) AS s FROM orders GROUP BY ALL) GROUP BY o_orderpriority")
@@ -51,12 +51,12 @@ def q_bignumeric(spark, d):
     return got.select("o_orderstatus", F.substring_index("s", ".", 1).cast("long").alias("whole"), (digits == F.lpad(F.col("n").cast("string"), 38, "0")).alias("exact"))
 
 
-@query("SELECT p_partkey, p_name, true AS hidden FROM part")
+@query("SELECT p_partkey, p_name, strlen(p_name) + 32 AS size FROM part")
 def q_aead_round_trip(spark, d):
     keys = crypto.add_key(crypto.new_keyset(), bytes(range(32)))
     later = crypto.rotate_keyset(keys)
     p = table(spark, d, "part").select("p_partkey", "p_name", crypto.encrypt(keys, F.col("p_name"), F.lit("x")).alias("c"))
-    return p.select("p_partkey", crypto.decrypt_string(later, F.col("c"), F.lit("x")).alias("p_name"), (F.col("c") != F.col("p_name").cast("binary")).alias("hidden"))
+    return p.select("p_partkey", crypto.decrypt_string(later, F.col("c"), F.lit("x")).alias("p_name"), F.octet_length("c").cast("long").alias("size"))
 
 
 @query("SELECT event_id, strftime(ts, '%H:%M:%S') AS t, strftime(ts + INTERVAL 10 HOUR, '%H:%M:%S') AS later, strftime(date_trunc('hour', ts), '%H:%M:%S') AS h FROM events")
@@ -70,19 +70,38 @@ def q_base32_initcap_soundex(spark, d):
     return table(spark, d, "part").select("p_partkey", F.decode(U.from_base32(U.to_base32(F.encode("p_name", "UTF-8"))), "UTF-8").alias("back"), S.initcap(F.lit("aA-bB cC")).alias("cap"), S.soundex(F.lit("Robert")).alias("sx"), S.soundex(F.lit("123")).alias("none"))
 
 
-@query("SELECT r_regionkey, 4 AS corners, true AS near, true AS inside, false AS outside FROM region")
-def q_st_shapes(spark, d):
-    """A square degree at the equator: its perimeter, area and what it holds."""
-    at = lambda x, y: geo.geogpoint(F.lit(float(x)) + F.col("r_regionkey") * 0, F.lit(float(y)))
-    ring = geo.st_makeline(F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1), at(0, 0)))
-    near = (F.abs(geo.st_area(ring) / 1.2364e10 - 1) < 0.001) & (F.abs(geo.st_perimeter(ring) / 444763 - 1) < 0.001) & geo.st_isclosed(ring)
-    return table(spark, d, "region").select("r_regionkey", (geo.st_numpoints(ring) - 1).alias("corners"), near.alias("near"), geo.st_contains(ring, at(0.5, 0.5)).alias("inside"), geo.st_contains(ring, at(2, 0.5)).alias("outside"))
+_BOX = "SELECT c_custkey, (c_custkey % 300 - 150)::DOUBLE AS x, (c_custkey % 140 - 70)::DOUBLE AS y, (c_custkey % 7 + 1)::DOUBLE AS w FROM customer"
+
 
+def _boxes(spark, d):
+    """Squares of 1 to 7 degrees, one for each customer."""
+    c = F.col("c_custkey")
+    return table(spark, d, "customer").select(c, (c % 300 - 150).cast("double").alias("x"), (c % 140 - 70).cast("double").alias("y"), (c % 7 + 1).cast("double").alias("w"))
 
-@query("SELECT r_regionkey, 'ezs42' AS hash, 'POINT(-5.6 42.6)' AS wkt, -5.6 AS x FROM region")
+
+@query(
+    f"""SELECT c_custkey, 5 AS n, round(2 * h(w, y, y + w, 0) + h(w, y, y, 1) + h(w, y + w, y + w, 1), 3) AS perimeter, round(h(w, y, y + w, 0), 3) AS side, 3 < w AS inside, false AS outside, true AS closed, x + w AS x2, y + w AS y2
+       FROM (SELECT *, 0 AS z FROM ({_BOX}))""".replace("h(w, y, y + w, 0)", "(6371010 * radians(w))").replace("h(w, y, y, 1)", "(2 * 6371010 * asin(cos(radians(y)) * sin(radians(w) / 2)))").replace("h(w, y + w, y + w, 1)", "(2 * 6371010 * asin(cos(radians(y + w)) * sin(radians(w) / 2)))")
+)
+def q_st_shapes(spark, d):
+    """Squares: corners, sides along meridians and great circles, what they hold."""
+    at = lambda p, q: geo.geogpoint(p, q)
+    x, y, w = F.col("x"), F.col("y"), F.col("w")
+    ring = geo.st_makeline(F.array(at(x, y), at(x + w, y), at(x + w, y + w), at(x, y + w), at(x, y)))
+    third = geo.st_pointn(ring, 3)
+    return _boxes(spark, d).select(
+        "c_custkey", geo.st_numpoints(ring).alias("n"), F.round(geo.st_perimeter(ring), 3).alias("perimeter"), F.round(geo.st_length(F.array(at(x, y), at(x, y + w))), 3).alias("side"), geo.st_contains(ring, at(x + 3, y + w / 2)).alias("inside"),
+        geo.st_contains(ring, at(x - 1, y)).alias("outside"), geo.st_isclosed(ring).alias("closed"), geo.st_x(third).alias("x2"), geo.st_y(third).alias("y2"),
+    )
+
+
+@query(f"SELECT c_custkey, 'POINT(' || CAST(x AS BIGINT) || ' ' || CAST(y AS BIGINT) || ')' AS wkt, x AS px, y AS py, '{{\"type\":\"Point\",\"coordinates\":[' || x || ',' || y || ']}}' AS js, CASE WHEN y >= 0 THEN (CASE WHEN x >= 0 THEN 's' ELSE 'e' END) ELSE (CASE WHEN x >= 0 THEN 'k' ELSE '7' END) END AS corner FROM ({_BOX}) WHERE abs(x) < 45 AND abs(y) < 45 AND x <> 0")
 def q_st_text(spark, d):
-    p = geo.st_geogfromtext(F.concat(F.lit("POINT(-5.6 42."), F.lit("6)")))
-    return table(spark, d, "region").select("r_regionkey", geo.st_geohash(p, 5).alias("hash"), geo.st_astext(p).alias("wkt"), geo.st_x(p).alias("x"))
+    """Points as text, read back; the first letter of a geohash names the cell about the origin's four corners."""
+    b = _boxes(spark, d).where("abs(x) < 45 and abs(y) < 45 and x <> 0")
+    p = geo.geogpoint(F.col("x"), F.col("y"))
+    back = geo.st_geogfromtext(geo.st_astext(p))
+    return b.select("c_custkey", geo.st_astext(p).alias("wkt"), geo.st_x(back).alias("px"), geo.st_y(back).alias("py"), geo.st_asgeojson(p).alias("js"), F.substring(geo.st_geohash(p, 5), 1, 1).alias("corner"))
 
 
 @query("SELECT n_regionkey, n_name FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC) <= 2")

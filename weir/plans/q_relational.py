@@ -47,19 +47,19 @@ def q_join_left(spark, d):
 
 
 @query(
-    """SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey < 15 GROUP BY 1) a
-       FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey > 5 GROUP BY 1) b ON a.k = b.k"""
+    """SELECT coalesce(a.k, b.k) AS k, a.n AS bought, b.n AS acted FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a
+       FULL JOIN (SELECT user_id * 2 AS k, count(*) AS n FROM events GROUP BY 1) b ON a.k = b.k"""
 )
 def q_join_full(spark, d):
-    a = table(spark, d, "customer").where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
-    b = table(spark, d, "supplier").where("s_nationkey > 5").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
+    a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("bought"))
+    b = table(spark, d, "events").groupBy((F.col("user_id") * 2).alias("k")).agg(F.count("*").alias("acted"))
     return a.join(b, "k", "full")
 
 
-@query("SELECT n_name, r_name FROM nation RIGHT JOIN region ON n_regionkey = r_regionkey AND n_nationkey < 10")
+@query("SELECT n_name, r_name FROM nation RIGHT JOIN region ON n_regionkey = r_regionkey AND n_name > r_name")
 def q_join_right(spark, d):
-    n, r = table(spark, d, "nation").where("n_nationkey < 10"), table(spark, d, "region")
-    return n.join(r, n.n_regionkey == r.r_regionkey, "right").select("n_name", "r_name")
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    return n.join(r, (n.n_regionkey == r.r_regionkey) & (n.n_name > r.r_name), "right").select("n_name", "r_name")
 
 
 @query("SELECT count(*) AS n FROM region a CROSS JOIN nation b")
@@ -197,13 +197,13 @@ def q_top_count(spark, d):
     return A.top_count(table(spark, d, "orders"), "o_orderpriority", 2, ["o_orderstatus"])
 
 
-@query("SELECT o_orderpriority, count(DISTINCT o_custkey) > 0 AS some FROM orders GROUP BY o_orderpriority")
+@query("SELECT k, count(DISTINCT o_orderkey) AS n, [min(x), max(x)] AS ends FROM (SELECT o_custkey % 50 AS k, o_orderkey, o_totalprice AS x FROM orders) GROUP BY k")
 def q_approx_sketches(spark, d):
-    """HLL and KLL sketches, made, merged and read; estimates are compared with exact values within their error."""
-    o = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(A.hll_init("o_custkey").alias("h"), A.kll_init("o_totalprice").alias("k"), F.collect_set("o_custkey").alias("ids"))
-    m = o.groupBy("o_orderpriority").agg(A.hll_merge("h").alias("n"), A.kll_merge("k").alias("k"), F.size(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("exact"))
-    near = F.abs(F.col("n") - F.col("exact")) <= F.greatest(F.lit(3), F.col("exact") * 0.05)
-    return m.select("o_orderpriority", (near & (F.size(A.kll_quantiles("k", 4)) == 5)).alias("some"))
+    """HLL and KLL sketches of parts, merged: counts this small are exact, and a sketch's extreme quantiles always are."""
+    o = table(spark, d, "orders").withColumn("k", F.col("o_custkey") % 50)
+    parts = o.groupBy("k", "o_orderstatus").agg(A.hll_init("o_orderkey").alias("h"), A.kll_init("o_totalprice").alias("q"))
+    merged = parts.groupBy("k").agg(A.hll_merge("h").alias("n"), A.kll_merge("q").alias("q"))
+    return merged.select("k", "n", A.kll_quantiles("q", 1).alias("ends"))
 
 
 @query("SELECT n_name FROM nation WHERE n_regionkey < 2 UNION ALL SELECT n_name FROM nation WHERE n_nationkey < 5")
@@ -227,10 +227,9 @@ def q_except(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").select("o_custkey"))
 
 
-@query("SELECT l_linenumber FROM lineitem WHERE l_orderkey < 100 EXCEPT ALL SELECT l_linenumber FROM lineitem WHERE l_orderkey < 40")
+@query("SELECT o_custkey FROM orders EXCEPT ALL SELECT c_custkey FROM customer")
 def q_except_all(spark, d):
-    li = table(spark, d, "lineitem")
-    return li.where("l_orderkey < 100").select("l_linenumber").exceptAll(li.where("l_orderkey < 40").select("l_linenumber"))
+    return table(spark, d, "orders").select("o_custkey").exceptAll(table(spark, d, "customer").select("c_custkey"))
 
 
 @query("WITH RECURSIVE r(n, m) AS (SELECT 1, 1 UNION SELECT (n * 3) % 50, m + 1 FROM r WHERE m < 12) SELECT CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m FROM r")
@@ -256,17 +255,21 @@ def q_unnest_zip_pad(spark, d):
     return R.unnest_zip(n, {"xs": "a", "ys": "b"}).select("n_nationkey", "a", "b")
 
 
-@query("SELECT n >= 0 AND n <= total AS ok FROM (SELECT 0 AS n, count(*) AS total FROM orders)")
+@query("SELECT count(*) AS everything, 0::BIGINT AS nothing, 0::BIGINT AS strangers, count(*) AS halves FROM orders")
 def q_tablesample(spark, d):
+    """All and none of a table; of a fifth, no row that is not the table's; a half and what it left are the table."""
     o = table(spark, d, "orders")
-    return R.sample(o, 20, seed=3).agg(F.count("*").alias("n")).crossJoin(o.agg(F.count("*").alias("total"))).select(((F.col("n") >= 0) & (F.col("n") <= F.col("total"))).alias("ok"))
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    few, half = R.sample(o, 20, seed=3), R.sample(o, 50, seed=4)
+    out = one(R.sample(o, 100), "everything").crossJoin(one(R.sample(o, 0), "nothing")).crossJoin(one(few.join(o, o.columns, "left_anti"), "strangers"))
+    return out.crossJoin(one(half.unionAll(o.join(half, o.columns, "left_anti")), "halves"))
 
 
 def _trade(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    buys = o.where("o_orderkey < 2000").join(li, o.o_orderkey == li.l_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
+    buys = o.join(li, o.o_orderkey == li.l_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
     flows = buys.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.count("*").alias("n")).where("n > 0").withColumn("id", F.col("src") * 100 + F.col("dst"))
     return G.Graph({"Nation": (n, "n_nationkey"), "Region": (r, "r_regionkey")}, {"Sells": (flows, "id", "src", "dst"), "In": (n.select("n_nationkey", "n_regionkey"), "n_nationkey", "n_nationkey", "n_regionkey")})
 
@@ -276,21 +279,15 @@ def q_graph_match(spark, d):
     return _trade(spark, d).match(("Nation", None), "In", ("Region", F.col("r_name") != "ASIA")).select(F.col("a_n_name").alias("nation"), F.col("b_r_name").alias("region"))
 
 
-_EDGES = "e AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderkey < 2000 AND s_nationkey < 6 AND c_nationkey < 6)"
-
-
-def _small(spark, d):
-    g = _trade(spark, d)
-    flows = g.edges["Sells"][0].where("src < 6 and dst < 6")
-    return G.Graph({}, {"Sells": (flows, "id", "src", "dst")})
+_EDGES = "e AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"
 
 
 @query(f"WITH {_EDGES} SELECT x.a AS head, y.b AS tail, count(*) AS n FROM e x JOIN e y ON x.b = y.a WHERE x.a <> x.b AND y.a <> y.b AND x.a <> y.b GROUP BY ALL")
 def q_graph_acyclic_paths(spark, d):
-    return _small(spark, d).walk("Sells", 2, 2, mode="ACYCLIC").groupBy("head", "tail").agg(F.count("*").alias("n"))
+    return _trade(spark, d).walk("Sells", 2, 2, mode="ACYCLIC").groupBy("head", "tail").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_EDGES}, two AS (SELECT a, b, 1 AS n FROM e UNION ALL SELECT x.a, y.b, 2 FROM e x JOIN e y ON x.b = y.a AND (x.a <> y.a OR x.b <> y.b)) SELECT a AS head, b AS tail, CAST(min(n) AS BIGINT) AS n FROM two GROUP BY ALL")
 def q_graph_any_shortest(spark, d):
-    paths = G.any_path(_small(spark, d).walk("Sells", 1, 2, mode="TRAIL"))
+    paths = G.any_path(_trade(spark, d).walk("Sells", 1, 2, mode="TRAIL"))
     return paths.select("head", "tail", G.path_length(F.col("edges")).alias("n"))

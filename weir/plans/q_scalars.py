@@ -138,11 +138,15 @@ def q_net_ip(spark, d):
     return table(spark, d, "customer").select("c_custkey", U.ip_to_string(ip).alias("ip"), U.ipv4_to_int64(ip).alias("n"), U.ip_to_string(U.ip_trunc(ip, F.lit(8))).alias("net"))
 
 
-@query("SELECT vec_id, round(1 - list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 6) AS c, round(list_distance(embedding::DOUBLE[], q::DOUBLE[]), 5) AS e FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)")
+@query("SELECT q.vec_id AS q, e.vec_id, round(1 - list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 6) AS c, round(list_distance(e.v, q.v), 5) AS e FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) e, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.v, q.v), e.vec_id) <= 10")
 def q_vector_distances(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.join(F.broadcast(q)).select("vec_id", F.round(S.cosine_distance("embedding", "q"), 6).alias("c"), F.round(S.euclidean_distance("embedding", "q"), 5).alias("e"))  # one row
+    """The ten nearest of all rows to each row whose id is divisible by 50."""
+    from ..session import views
+    from .dialect import Session
+
+    views(spark, d, ["embeddings"])
+    return Session(spark).query("""SELECT q.vec_id AS q, e.vec_id AS vec_id, ROUND(COSINE_DISTANCE(e.embedding, q.embedding), 6) AS c, ROUND(EUCLIDEAN_DISTANCE(e.embedding, q.embedding), 5) AS e
+        FROM embeddings e CROSS JOIN (SELECT vec_id, embedding FROM embeddings WHERE MOD(vec_id, 50) = 0) q QUALIFY ROW_NUMBER() OVER (PARTITION BY q.vec_id ORDER BY EUCLIDEAN_DISTANCE(e.embedding, q.embedding), e.vec_id) <= 10""")
 
 
 @query("SELECT c_custkey, round(2 * 6371010 * asin(sqrt(sin(radians(lat - 10) / 2) ^ 2 + cos(radians(lat)) * cos(radians(10)) * sin(radians(lng - 20) / 2) ^ 2)), 3) AS m FROM (SELECT c_custkey, (c_custkey % 360 - 180)::DOUBLE AS lng, (c_custkey % 170 - 85)::DOUBLE AS lat FROM customer)")

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import privacy
-from ..session import checkpoint_dir, table
+from ..session import checkpoint_dir, table, views
 from ..sources import files
 from ..sources.tables import Catalog, When
 from .catalogue import query
+from .dialect import Session
 
 
 def _catalog(spark) -> Catalog:
@@ -60,6 +61,41 @@ def q_time_travel(spark, d):
     return out.crossJoin(one(c.read("n"), "v3")).crossJoin(one(c.read("snap"), "snap"))
 
 
+@query(
+    """SELECT CAST((SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS BIGINT) AS deleted, CAST((SELECT count(*) FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000) AS BIGINT) AS updated, CAST((SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS BIGINT) AS inserted,
+       (SELECT round(sum(CASE WHEN o_orderstatus = 'O' AND o_totalprice > 100000 THEN o_totalprice + 1 ELSE o_totalprice END), 2) FROM orders) AS total, (SELECT count(*) FROM orders) AS n, 'open' AS note"""
+)
+def q_sql_dml(spark, d):
+    """DML from SQL text: rows touched by each statement, NOT NULL and DEFAULT columns, what is there in the end."""
+    views(spark, d, ["orders"])
+    s = Session(spark, _catalog(spark))
+    counts = []
+    for text in (
+        "CREATE TABLE o (k INT64 NOT NULL, s STRING, p FLOAT64, note STRING DEFAULT 'open')",
+        "INSERT INTO o (k, s, p) SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
+        "DELETE FROM o WHERE s = 'F'", "UPDATE o SET p = p + 1 WHERE s = 'O' AND p > 100000",
+        "INSERT INTO o (k, s, p) SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'",
+    ):
+        s.execute(text)
+        counts.append(s.row_count)
+    return s.query("SELECT @deleted AS deleted, @updated AS updated, @inserted AS inserted, ROUND(SUM(p), 2) AS total, COUNT(*) AS n, MIN(note) AS note FROM o", deleted=counts[2], updated=counts[3], inserted=counts[4])
+
+
+@query(
+    """SELECT * FROM (VALUES ('COLUMN', 't.k', 'NO'), ('COLUMN', 't.d', 'YES'), ('COLUMN', 't.label', 'YES'), ('COLUMN', 'u.k', 'YES'), ('COLUMN', 'u.d', 'YES'), ('COLUMN', 'u.label', 'YES'), ('OPTION', 't.partition_by', NULL), ('OPTION', 't.partition_kind', NULL), ('OPTION', 't.read_as', NULL), ('PARTITION', 't', NULL),
+       ('SCHEMA', 'mart', NULL), ('TABLE', 't', 'BASE TABLE'), ('TABLE', 'u', 'BASE TABLE')) AS v(kind, name, what)"""
+)
+def q_sql_information_schema(spark, d):
+    s = Session(spark, _catalog(spark))
+    for text in (
+        "CREATE SCHEMA mart", "CREATE TABLE t (k INT64 NOT NULL, d DATE, name STRING) PARTITION BY d", "INSERT INTO t VALUES (1, DATE '2024-01-01', 'a'), (2, DATE '2024-01-02', 'b')",
+        "ALTER TABLE t RENAME COLUMN name TO label", "CREATE TABLE v LIKE t", "ALTER TABLE v RENAME TO u",
+    ):
+        s.execute(text)
+    return s.query("""SELECT 'TABLE' AS kind, table_name AS name, table_type AS what FROM INFORMATION_SCHEMA.TABLES UNION ALL SELECT 'COLUMN', CONCAT(table_name, '.', column_name), is_nullable FROM INFORMATION_SCHEMA.COLUMNS UNION ALL SELECT 'SCHEMA', schema_name, NULL FROM INFORMATION_SCHEMA.SCHEMATA
+        UNION ALL SELECT DISTINCT 'PARTITION', table_name, NULL FROM INFORMATION_SCHEMA.PARTITIONS UNION ALL SELECT 'OPTION', CONCAT(table_name, '.', option_name), NULL FROM INFORMATION_SCHEMA.TABLE_OPTIONS""")
+
+
 @query("SELECT 'n' AS table_name, unnest(['n_nationkey', 'n_name', 'n_regionkey', 'note']) AS column_name")
 def q_information_schema(spark, d):
     c = _catalog(spark)
@@ -82,8 +118,7 @@ def q_hive_partitions(spark, d):
     return files.read_hive(spark, path).where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
 
 
-@query("SELECT event_type, count(*) > 0 AS seen FROM events GROUP BY event_type")
+@query("SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type")
 def q_differential_privacy(spark, d):
-    """Noisy counts of users by event; every group here has far more users than the threshold."""
-    out = privacy.dp_aggregate(table(spark, d, "events"), ["event_type"], "user_id", epsilon=20.0, delta=0.01, max_groups=10, count="n", seed=1)
-    return out.select("event_type", (F.col("n") > 0).alias("seen"))
+    """Counts of users by event, with so much privacy spent that the noise rounds away; what is left are the bounds on groups and the threshold."""
+    return privacy.dp_aggregate(table(spark, d, "events"), ["event_type"], "user_id", epsilon=1e9, delta=0.01, max_groups=10, count="n", seed=1)

@@ -112,7 +112,10 @@ class WriteStream:
         if self.kind == "COMMITTED":
             self.catalog.insert(self.name, rows)
         else:
-            self.batches.append(rows)
+            # written now: what is committed later are these rows, whatever becomes of their source
+            m = self.catalog._now(self.name)
+            parts = self.catalog._data(self.name, self.catalog._checked(rows, T.StructType.fromJson(m["schema"]), m["options"]), m["options"])
+            self.batches.append(self.catalog._of(m, parts))
         return self.offset
 
     def flush(self) -> None:
