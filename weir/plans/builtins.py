@@ -14,7 +14,7 @@ from decimal import Decimal
 
 from pyspark.sql import SparkSession
 
-from ..functions import temporal
+from ..functions import shapes, temporal
 
 Template = Callable[[list[str]], str | None]
 
@@ -279,6 +279,24 @@ def _kll() -> None:
 _kll()
 
 
+def _geography(name: str) -> Template:
+    def build(a: list[str]) -> str:
+        if len(a) < len(shapes.FUNCTIONS[name][1]) and name in shapes.DEFAULTS:
+            a = [*a, shapes.DEFAULTS[name]]
+        forms = {("ST_MAKELINE", 1): "ST_MAKELINE_ALL", ("ST_MAKEPOLYGON", 2): "ST_MAKEPOLYGON_WITH", ("ST_UNION", 1): "ST_UNION_ALL"}
+        return f"weir_{forms.get((name, len(a)), name).lower()}({', '.join(a)})"
+
+    return build
+
+
+FUNCTIONS |= {name: _geography(name) for name in shapes.FUNCTIONS}
+# of a group: its shapes are gathered, as what they give may have all their parts
+FUNCTIONS |= {
+    "ST_UNION_AGG": _form("weir_st_union_all(collect_list({0}))"), "ST_CENTROID_AGG": _form("weir_st_centroid(weir_st_gather(collect_list({0})))"),
+    "ST_EXTENT": _form("weir_st_boundingbox(weir_st_gather(collect_list({0})))"),
+}
+
+
 def spark_text(name: str, args: list[str]) -> str | None:
     """The Spark SQL of a call; None if Spark's own function of that name is meant."""
     template = FUNCTIONS.get(name)
@@ -290,6 +308,6 @@ def register(spark: SparkSession) -> None:
     from ..functions import udfs
 
     if spark.conf.get("weir.functions", "") != "registered":
-        for name, f in udfs.NAMED.items():
+        for name, f in (udfs.NAMED | shapes.named()).items():
             spark.udf.register(name, f)
         spark.conf.set("weir.functions", "registered")

@@ -244,7 +244,7 @@ class Catalog:
         paths = [x for p in (m["parts"] if parts is None else parts) for x in ([p["folder"]] if not p["without"] else self._files(p))]
         if not paths:
             return self.spark.createDataFrame([], schema)
-        out = self.spark.read.schema(stored).parquet(*paths).select(*[F.col(f"`{names.get(n, n)}`").alias(n) for n in schema.names])
+        out = self.spark.read.schema(stored).option("recursiveFileLookup", True).parquet(*paths).select(*[F.col(f"`{names.get(n, n)}`").alias(n) for n in schema.names])
         days, by = options.get("partition_expiration_days"), options.get("partition_by")
         # partitions past their time are not read, whether they are still there or not
         return out.where(F.col(by).isNull() | (F.col(by).cast("timestamp") >= F.current_timestamp() - F.make_dt_interval(secs=F.lit(days * 86400)))) if days and by else out
@@ -266,7 +266,7 @@ class Catalog:
         """Rows in a folder of their own, whatever the table's size. Writers that only insert don't get in each other's way."""
         m = self._now(name)
         parts = self._data(name, self._checked(rows, StructType.fromJson(m["schema"]), m["options"]), m["options"])
-        n = self.spark.read.parquet(parts[0]["folder"]).count()
+        n = self.spark.read.schema(StructType.fromJson(m["schema"])).option("recursiveFileLookup", True).parquet(parts[0]["folder"]).count()
         for k in range(20):
             try:
                 self._commit(name, m["version"], StructType.fromJson(m["schema"]), [*m["parts"], *parts], {**m["options"], **(options or {})}, at)
@@ -290,7 +290,7 @@ class Catalog:
         paths = [x for p in m["parts"] for x in ([p["folder"]] if not p["without"] else self._files(p))]
         if not paths:
             return m["parts"], [], 0
-        rows = self.spark.read.schema(stored).parquet(*paths)
+        rows = self.spark.read.schema(stored).option("recursiveFileLookup", True).parquet(*paths)
         rows = rows.select(*[F.col(f"`{names.get(n, n)}`").alias(n) for n in schema.names], F.col("_metadata.file_path").alias("_weir_file"))
         # at most one row for each file
         hit = rows.where(F.coalesce(cond, F.lit(False))).groupBy("_weir_file").count().collect()
@@ -312,7 +312,7 @@ class Catalog:
             return 0
         schema, names = StructType.fromJson(m["schema"]), m["options"].get("read_as", {})
         stored = StructType([StructField(names.get(f.name, f.name), f.dataType) for f in schema])
-        rows = self.spark.read.schema(stored).parquet(*[f for p in own for f in p["files"]]).select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in schema.names])
+        rows = self.spark.read.schema(stored).option("recursiveFileLookup", True).parquet(*[f for p in own for f in p["files"]]).select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in schema.names])
         parts = self._data(name, self._checked(change(rows), schema, m["options"]).select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in schema.names]), m["options"])
         self._commit(name, m["version"], schema, [*kept, *parts], m["options"])
         return n
