@@ -17,7 +17,7 @@ def new_keyset(kind: str = "AEAD_AES_GCM_256") -> str:
 
 def rotate_keyset(keyset: str, kind: str = "AEAD_AES_GCM_256") -> str:
     """KEYS.ROTATE_KEYSET: a new primary key; the others still decrypt."""
-    if kind != "AEAD_AES_GCM_256":
+    if kind not in ("AEAD_AES_GCM_256", "DETERMINISTIC_AEAD_AES_SIV_CMAC_256"):
         raise ValueError(f"key type {kind} is not supported")
     return add_key(keyset, secrets.token_bytes(32))
 
@@ -61,3 +61,37 @@ def decrypt_bytes(keyset: str, cipher: Column, aad: Column) -> Column:
 
 def decrypt_string(keyset: str, cipher: Column, aad: Column) -> Column:
     return decrypt_bytes(keyset, cipher, aad).cast("string")
+
+
+def keyset_to_json(keyset: str) -> str:
+    """KEYS.KEYSET_TO_JSON: keysets are kept so."""
+    return json.dumps(json.loads(keyset), separators=(",", ":"))
+
+
+def keyset_from_json(text: str) -> str:
+    """KEYS.KEYSET_FROM_JSON, an error for what is none."""
+    k = json.loads(text)
+    if k["primary"] not in {x["id"] for x in k["keys"]}:
+        raise ValueError("the primary key is not in the keyset")
+    return json.dumps(k)
+
+
+def deterministic_encrypt(keyset: str, plain: Column, aad: Column) -> Column:
+    """DETERMINISTIC_ENCRYPT: the nonce is made of the text, its context and the key, so equal texts have equal ciphers.
+
+    The bytes are this library's own form, not those of another one's AES-SIV.
+    """
+    number, key = _keys(keyset)[0]
+    plain, aad = plain.cast("binary"), aad.cast("binary")
+    nonce = F.substring(F.unhex(F.sha2(F.concat(F.lit(key), F.unhex(F.sha2(F.concat(F.lit(key), F.unhex(F.sha2(aad, 256)), plain), 256))), 256)), 1, 12)
+    body = F.aes_encrypt(plain, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), nonce, aad)
+    return F.concat(F.lit(number.to_bytes(4, "big")), body)
+
+
+def deterministic_decrypt_bytes(keyset: str, cipher: Column, aad: Column) -> Column:
+    """DETERMINISTIC_DECRYPT_BYTES: the nonce stands in the text, as with AEAD.ENCRYPT."""
+    return decrypt_bytes(keyset, cipher, aad)
+
+
+def deterministic_decrypt_string(keyset: str, cipher: Column, aad: Column) -> Column:
+    return decrypt_string(keyset, cipher, aad)

@@ -15,12 +15,15 @@ def python_udf(spark: SparkSession, name: str, source: str, entry_point: str, re
     """A scalar Python function from its source, registered by name; arguments come in Arrow batches."""
     kind: DataType = _parse_datatype_string(returns)
     arrow = to_arrow_type(kind)
+    held: list[Callable] = []
 
     @F.arrow_udf(returns)
     def run(*columns: pa.Array) -> pa.Array:
-        scope: dict = {}
-        exec(compile(source, name, "exec"), scope)  # the user's own code, once for each batch
-        f = scope[entry_point]
+        if not held:
+            scope: dict = {}
+            exec(compile(source, name, "exec"), scope)  # the user's own code, once for each worker
+            held.append(scope[entry_point])
+        f = held[0]
         return pa.array([f(*r) for r in zip(*(c.to_pylist() for c in columns))], arrow)
 
     spark.udf.register(name, run)

@@ -112,7 +112,8 @@ def div(a, b) -> Column:
 
 
 def _div(a: Column, b: Column) -> Column:
-    return F.call_function("div", a, b)
+    # exact for all longs and for NUMERIC
+    return F.call_function("div", a.cast("decimal(38,9)"), b.cast("decimal(38,9)"))
 
 
 def mod(a, b) -> Column:

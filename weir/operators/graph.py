@@ -62,6 +62,36 @@ class Graph:
         return out
 
 
+    def best(self, edge: str, least: int, most: int, *, cost: str | None = None) -> DataFrame:
+        """ANY SHORTEST (without ``cost``) or ANY CHEAPEST walks: head, tail, nodes, edges, cost.
+
+        After every hop one walk is kept for each head and tail, so what is
+        held never exceeds the number of pairs.
+        """
+        table, key, src, dst = self.edges[edge]
+        weight = F.col(cost).cast("double") if cost else F.lit(1.0)
+        hop = table.select(F.col(src).alias("_from"), F.col(dst).alias("_to"), F.col(key).alias("_edge"), weight.alias("_cost"))
+        now = hop.select(F.col("_from").alias("head"), F.col("_to").alias("tail"), F.array("_from", "_to").alias("nodes"), F.array("_edge").alias("edges"), F.col("_cost").alias("cost"))
+        found = []
+        for n in range(1, most + 1):
+            if n > 1:
+                now = now.join(hop, F.col("tail") == F.col("_from")).select("head", F.col("_to").alias("tail"), F.array_append("nodes", F.col("_to")).alias("nodes"), F.array_append("edges", F.col("_edge")).alias("edges"), (F.col("cost") + F.col("_cost")).alias("cost"))
+            now = _least(now)
+            if n >= least:
+                found.append(now)
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionAll(more)
+        return _least(out)
+
+
+def _least(paths: DataFrame) -> DataFrame:
+    """One path for each head and tail, by a partial aggregation."""
+    rank = F.struct("cost", F.size("edges").alias("size"), "edges", "nodes")
+    kept = paths.groupBy("head", "tail").agg(F.min(rank).alias("r"))
+    return kept.select("head", "tail", "r.nodes", "r.edges", "r.cost")
+
+
 def any_path(paths: DataFrame, prefix: str = "ANY SHORTEST") -> DataFrame:
     """One path for each head and tail: of the fewest edges, or (ANY CHEAPEST) of the least cost."""
     key = F.col("cost") if prefix == "ANY CHEAPEST" else F.size("edges")
@@ -73,6 +103,14 @@ def path_length(edges: Column) -> Column:
     return F.size(edges).cast("long")
 
 
+def path_first(nodes: Column) -> Column:
+    return F.get(nodes, F.lit(0))
+
+
+def path_last(nodes: Column) -> Column:
+    return F.element_at(nodes, -1)
+
+
 def is_trail(edges: Column) -> Column:
     return F.size(F.array_distinct(edges)) == F.size(edges)
 

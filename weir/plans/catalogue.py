@@ -20,5 +20,5 @@ def query(sql: str | None = None):
     return register
 
 
-for _name in ("relational", "windows", "sql", "geography", "scalars", "series", "texts", "stored", "more"):
+for _name in ("relational", "windows", "sql", "geography", "scalars", "series", "texts", "stored", "more", "jobs"):
     importlib.import_module(f"{__package__}.q_{_name}")
