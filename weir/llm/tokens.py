@@ -185,7 +185,7 @@ class Encoder:
     KEEP, KEEP_IDS = 900_000, 8_000_000
     LONGEST = 48
     #: Chunks that are encoded as one text.
-    LOT = 64
+    LOT = 128
 
     def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -213,7 +213,7 @@ class Encoder:
         self.ids, self.n_codes, self.n_ids = np.zeros(1 << 18, np.uint32), 0, 0
 
     def plain(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _side_by_side(self, chunks: list[bytes]) -> list[list[int]] | None:
         """The ids of chunks that are led by a space and don't end with one; None if ids don't fall apart at the chunks."""
@@ -326,7 +326,8 @@ def encoder_for(path: str, special_as_text: bool) -> Encoder:
 def write_tokens(docs: DataFrame, tokenizer: str, to: str | None = None, *, end_id: int = 0, special_as_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise ``docs`` by the file ``tokenizer`` into frames in ascending id order, in Parquet files under ``to`` or in the scratch folder; the table of frames, read back."""
     spark = docs.sparkSession
-    text_batches(spark)
+    # the more rows, the fewer chunks that are new to a batch; Spark bounds a batch's bytes
+    text_batches(spark, 6000)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text")
 
