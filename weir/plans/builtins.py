@@ -252,6 +252,7 @@ FUNCTIONS: dict[str, Template] = {
     # where an error would be raised, null
     "SAFE.DIV": _form("CASE WHEN {1} <> 0 THEN {0} div {1} END"), "SAFE.MOD": _form("try_mod({0}, {1})"), "SAFE.DATE": lambda a: f"try_to_date(concat_ws('-', {', '.join(a)}), 'y-M-d')" if len(a) == 3 else f"try_cast({a[0]} AS DATE)",
     "SAFE.SUBSTR": lambda a: f"CASE WHEN {a[2]} >= 0 THEN {_substr(a)} END" if len(a) > 2 else _substr(a), "SAFE.ARRAY_FIRST": _form("get({0}, 0)"), "SAFE.ARRAY_LAST": _form("try_element_at({0}, -1)"),
+    "COLLATE": lambda a: f"collate({a[0]}, '{'UNICODE_CI' if _constant(a[1]).endswith(':ci') else 'UTF8_BINARY'}')",
     "ERROR": _form("raise_error({0})"), "PARSE_NUMERIC": _form("CAST(replace(trim({0}), ',', '') AS DECIMAL(38,9))"), "TYPEOF": _form("typeof({0})"),
     "HLL_COUNT.INIT": lambda a: f"hll_sketch_agg({a[0]}, {a[1] if len(a) > 1 else 15})", "HLL_COUNT.MERGE": _form("hll_sketch_estimate(hll_union_agg({0}))"),
     "HLL_COUNT.MERGE_PARTIAL": _form("hll_union_agg({0})"), "HLL_COUNT.EXTRACT": _form("hll_sketch_estimate({0})"),

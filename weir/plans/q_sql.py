@@ -187,3 +187,27 @@ def q_sql_function(spark, d):
 def q_sql_literals(spark, d):
     """A single row, and a literal of each type."""
     return Session(spark).query("""SELECT CAST(1 AS INT64) AS i, CAST(1.5 AS FLOAT64) AS f, 'a"b' AS s, TO_HEX(b'ab') AS b, DATE '2024-02-29' AS d, TRUE AS t, CAST(NULL AS INT64) AS n, [CAST(1 AS INT64), CAST(2 AS INT64)] AS a, NUMERIC '12.34' AS m, 0xFF AS x, DATETIME '2024-01-02 03:04:05' AS dt""")
+
+
+@query(
+    """SELECT o_custkey, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey)[1:3] AS top, list(x ORDER BY o_orderkey) FILTER (x IS NOT NULL) AS known, list(x ORDER BY o_orderkey) AS every, string_agg(o_orderstatus, '|' ORDER BY o_orderkey) AS st, list_sort(list(DISTINCT o_orderstatus)) AS ds, max_by(o_orderkey, o_totalprice) AS hm,
+       min_by(o_orderkey, o_totalprice) AS hn, list_sort(list(o_orderkey) || list(o_custkey)) AS cc FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS x FROM orders) GROUP BY o_custkey"""
+)
+def q_sql_aggregate_modifiers(spark, d):
+    return _run(spark, d, """SELECT o_custkey, ARRAY_AGG(o_orderkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 3) AS top, ARRAY_AGG(x IGNORE NULLS ORDER BY o_orderkey) AS known, ARRAY_AGG(x ORDER BY o_orderkey) AS every, STRING_AGG(o_orderstatus, '|' ORDER BY o_orderkey) AS st,
+        ARRAY_AGG(DISTINCT o_orderstatus ORDER BY o_orderstatus) AS ds, ANY_VALUE(o_orderkey HAVING MAX o_totalprice) AS hm, ANY_VALUE(o_orderkey HAVING MIN o_totalprice) AS hn, SORT_ARRAY(ARRAY_CONCAT_AGG([o_orderkey, o_custkey])) AS cc
+        FROM (SELECT *, IF(MOD(o_orderkey, 3) = 0, NULL, o_orderkey) AS x FROM orders) GROUP BY o_custkey""", "orders")
+
+
+@query("SELECT upper(n_name) AS name, count(*) * 2 AS n, (SELECT count(*) FROM nation) AS distinct_names FROM nation GROUP BY 1")
+def q_sql_collated(spark, d):
+    """Names in two cases: grouped, and united without repeats, by a collation that holds them equal."""
+    return _run(spark, d, """SELECT UPPER(CAST(MIN(name) AS STRING)) AS name, COUNT(*) AS n, (SELECT COUNT(*) FROM (SELECT COLLATE(LOWER(n_name), 'und:ci') AS c FROM nation UNION DISTINCT SELECT COLLATE(UPPER(n_name), 'und:ci') FROM nation)) AS distinct_names
+        FROM (SELECT COLLATE(LOWER(n_name), 'und:ci') AS name FROM nation UNION ALL SELECT COLLATE(UPPER(n_name), 'und:ci') FROM nation) GROUP BY name""", "nation")
+
+
+@query("SELECT count(*) AS rows, count(*) AS uuids, date_diff('day', DATE '2020-01-01', current_date) AS today, date_diff('day', DATE '2020-01-01', current_date) AS ts, date_diff('day', DATE '2020-01-01', current_date) AS dt, count(*) AS rands, 'bigint' AS ty FROM customer")
+def q_sql_utility(spark, d):
+    """What differs from row to row or from day to day, by what must hold of it."""
+    return _run(spark, d, """SELECT COUNT(*) AS rows, COUNT(DISTINCT u) AS uuids, MAX(DATE_DIFF(CURRENT_DATE(), DATE '2020-01-01', DAY)) AS today, MAX(DATE_DIFF(DATE(CURRENT_TIMESTAMP()), DATE '2020-01-01', DAY)) AS ts, MAX(DATE_DIFF(DATE(CURRENT_DATETIME()), DATE '2020-01-01', DAY)) AS dt,
+        COUNTIF(r >= 0 AND r < 1) AS rands, MAX(ty) AS ty FROM (SELECT GENERATE_UUID() AS u, RAND() AS r, TYPEOF(c_custkey) AS ty FROM customer)""", "customer")
