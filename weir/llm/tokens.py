@@ -10,12 +10,14 @@ once. Frames are rows of a Parquet table: they split, and are committed whole,
 like any of Spark's files.
 
 Tokenising. A pretoken of the byte-level vocabulary never runs on from a
-character that isn't white space into a space, so a text whose spaces all
-follow such a character is the concatenation of its space-led chunks. A batch
-of texts is cut into chunks and these are numbered by Arrow over one buffer;
-distinct chunks that are new are encoded, all others are known by number, and
-the batch's ids are one gather from the ids of the known chunks. Other texts go
-to the tokenizer whole. Special tokens in a text are what the tokenizer makes
+character that isn't white space into a space, nor from a letter into a mark or
+a line's end, nor over a line's end between other characters and a letter. So a
+text whose spaces all follow such a character is the concatenation of the
+chunks that begin at these places. A batch of texts is cut into chunks and these
+are numbered by Arrow over one buffer; distinct chunks that are new are encoded,
+all others are known by number, and the batch's ids are one gather from the ids
+of the known chunks. Other texts go to the tokenizer whole, as do all texts of a
+vocabulary by which a probe comes out otherwise. Special tokens in a text are what the tokenizer makes
 of them; ``special_as_text`` makes them ordinary text.
 
 Defined cases: null or empty text has only the end id; ids in ascending
@@ -28,6 +30,7 @@ gives empty files and results.
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 from itertools import chain
@@ -174,6 +177,18 @@ def read_frame(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(x) for x, z in zip(known, null)], lengths, unpack(words, offsets, n)
 
 
+def _table(chars: str) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(chars.encode())] = True
+    return out
+
+
+_IS_LETTER, _IS_MARK = _table(string.ascii_letters), _table(string.punctuation)
+_IS_SHOWN = _IS_LETTER | _IS_MARK | _table(string.digits)
+#: What the places at which chunks begin rest on.
+_PROBE = "It's a word, don't.\nNext (line)\nand so on!\n\nX 12.5\n a  b\tc Éöß, 漢字.\nEnd 'sabc o'sabc x1y2,3.\r\nz <a>b\n"
+
+
 class Encoder:
     """Texts to their ids, by way of distinct chunks.
 
@@ -185,7 +200,7 @@ class Encoder:
     KEEP, KEEP_IDS = 900_000, 8_000_000
     LONGEST = 48
     #: Chunks that are encoded as one text.
-    LOT = 128
+    LOT = 256
 
     def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -202,9 +217,13 @@ class Encoder:
             self.bytes_of[i] = len(token)
         for t in added:
             self.bytes_of[self.tokenizer.token_to_id(t.content)] = len(t.content.encode())
-        tries = [b" word", " Éöß,".encode(), " 漢字\nab".encode(), b" x"]
-        plain_added = not any(" " in t.content or t.lstrip or t.rstrip or t.single_word or t.normalized for t in added)
-        self.by_chunks = plain_added and self._side_by_side(tries) == self.plain([x.decode() for x in tries])
+        self.special = [t.content.encode() for t in added]
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.by_chunks = not any(" " in t.content or t.lstrip or t.rstrip or t.single_word or t.normalized for t in added) and len(self.line) == 1
+        if self.by_chunks:
+            found = self.encode(pa.array([_PROBE]))[0].tolist()
+            self.by_chunks = found == self.plain([_PROBE])[0]
+            self.forget()
 
     def forget(self) -> None:
         self.code: dict[bytes, int] = {}
@@ -215,46 +234,54 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _side_by_side(self, chunks: list[bytes]) -> list[list[int]] | None:
-        """The ids of chunks that are led by a space and don't end with one; None if ids don't fall apart at the chunks."""
+    def _side_by_side(self, chunks: list[bytes], line: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each chunk has, and the ids, of chunks encoded as one text, each followed by ``line``."""
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         lots = [chunks[i : i + self.LOT] for i in range(0, len(chunks), self.LOT)]
-        out = []
-        for lot, ids in zip(lots, self.plain([b"".join(x).decode() for x in lots])):
-            reach = np.cumsum(self.bytes_of[ids])
-            ends = np.cumsum([len(x) for x in lot])
+        for lot, own in zip(lots, self.plain([(line.join(x) + line).decode() for x in lots])):
+            own = np.array(own, np.int64)
+            reach = np.cumsum(self.bytes_of[own])
+            ends = np.cumsum(np.fromiter(map(len, lot), np.int64, len(lot)) + len(line))
             cut = np.searchsorted(reach, ends)
-            if cut[-1] + 1 != len(ids) or (reach[cut] != ends).any():
-                return None
-            last = 0
-            for z in (cut + 1).tolist():
-                out.append(ids[last:z])
-                last = z
-        return out
+            if cut[-1] + 1 != len(own) or (reach[cut] != ends).any() or (line and (own[cut] != self.line[0]).any()):
+                # ids that don't fall apart at the chunks: each by itself
+                apart = self.plain([x.decode() for x in lot])
+                own, count = np.array([i for x in apart for i in x], np.int64), np.array(list(map(len, apart)), np.int64)
+            else:
+                count = np.diff(cut, prepend=-1)
+                if line:
+                    keep = np.ones(len(own), dtype=bool)
+                    keep[cut] = False
+                    own, count = own[keep], count - 1
+            sizes.append(count), ids.append(own)
+        return np.concatenate(sizes), np.concatenate(ids)
 
     def _learn(self, chunks: list[bytes]) -> list[int]:
         """New codes of ``chunks``."""
-        # text that a space may follow, and that is led by one
-        shut = [x[-1] > 32 and (x[-1] < 128 or not x.decode()[-1].isspace()) for x in chunks]
-        even = [i for i, x in enumerate(chunks) if shut[i] and x[0] == 32]
-        odd = [i for i, x in enumerate(chunks) if not (shut[i] and x[0] == 32)]
-        found: list[list[int]] = [[]] * len(chunks)
-        for i, ids in zip(even, self._side_by_side([chunks[i] for i in even]) or self.plain([chunks[i].decode() for i in even])):
-            found[i] = ids
-        for i, ids in zip(odd, self.plain([chunks[i].decode() for i in odd])):
-            found[i] = ids
-        first, n = self.n_codes, len(chunks)
-        sizes = np.fromiter(map(len, found), np.int64, n)
-        total = int(sizes.sum())
+        n = len(chunks)
+        # text that a space may follow
+        shut = np.array([x[-1] > 32 and (x[-1] < 128 or not x.decode()[-1].isspace()) for x in chunks], dtype=bool)
+        head = np.array([x[0] for x in chunks], dtype=np.uint8)
+        led, word = shut & (head == 32), shut & _IS_LETTER[head]
+        kinds = [np.flatnonzero(k) for k in (led, word, ~(led | word))]
+        found = [self._side_by_side([chunks[i] for i in kinds[0].tolist()]), self._side_by_side([chunks[i] for i in kinds[1].tolist()], b"\n")]
+        rest = self.plain([chunks[i].decode() for i in kinds[2].tolist()])
+        found.append((np.array(list(map(len, rest)), np.int64), np.array([i for x in rest for i in x], np.int64)))
+        # codes follow the order of kinds
+        order, sizes, flat = (np.concatenate(x) for x in (kinds, [f[0] for f in found], [f[1] for f in found]))
+        first, total = self.n_codes, len(flat)
         while len(self.start) < first + n:
             self.start, self.size, self.open = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.open))
         while len(self.ids) < self.n_ids + total:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.start[first : first + n] = self.n_ids + np.cumsum(sizes) - sizes
         self.size[first : first + n] = sizes
-        self.open[first : first + n] = ~np.array(shut, dtype=bool)
-        self.ids[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.open[first : first + n] = ~shut[order]
+        self.ids[self.n_ids : self.n_ids + total] = flat
         self.n_codes, self.n_ids = first + n, self.n_ids + total
-        return list(range(first, first + n))
+        codes = np.empty(n, np.int64)
+        codes[order] = first + np.arange(n)
+        return codes.tolist()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts (UTF-8 in a string or binary array; null is empty), and how many each text has."""
@@ -266,17 +293,26 @@ class Encoder:
         column = texts.cast(pa.large_binary()).fill_null(b"")
         at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
         at, flat = at - at[0], np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-        # a chunk begins at every space and at every text
-        begins = flat == 32
-        full = np.flatnonzero(np.diff(at))
+        # a chunk begins at every text and space, where a letter meets a mark or a line's end, and about a line's end amid text
+        begins, full = flat == 32, np.flatnonzero(np.diff(at))
+        data = flat.tobytes()
+        if not any(x in data for x in self.special):
+            line, letter, shown = flat == 10, _IS_LETTER[flat], _IS_SHOWN[flat]
+            begins[1:] |= letter[:-1] & (_IS_MARK[flat[1:]] | line[1:])
+            amid = line[1:-1] & shown[:-2] & letter[2:]
+            begins[1:-1] |= amid
+            begins[2:] |= amid
         begins[at[full]] = True
         begins = np.flatnonzero(begins)
         first = np.searchsorted(begins, at[full])
         if not len(full):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         edges = np.concatenate([begins, [len(flat)]])
-        chunks = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
-        distinct = chunks.dictionary.to_pylist()
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        held, known = chunks.dictionary.buffers()[1:]
+        edges = np.frombuffer(held, np.int64)[: len(chunks.dictionary) + 1].tolist()
+        known = known.to_pybytes()
+        distinct = [known[a:z] for a, z in zip(edges, edges[1:])]
         if len(self.code) > self.KEEP or self.n_ids > self.KEEP_IDS:
             self.forget()
         new = [x for x in distinct if x not in self.code]
@@ -287,6 +323,7 @@ class Encoder:
                 del self.code[x]
         # a text goes whole if what must not be followed by a space is
         amid = self.open[codes]
+        amid[:-1] &= flat[begins[1:]] == 32
         amid[np.concatenate([first[1:], [len(codes)]]) - 1] = False
         start, size = self.start[codes], self.size[codes]
         if amid.any():
