@@ -40,6 +40,8 @@ from .licences import words_of
 SHORTEST = 5
 LEAST = 0.6
 BLOCK_CHARS = 4_000_000
+#: Pairs of equal windows of texts and items that are sorted at once.
+LOT = 1_000_000
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -128,26 +130,32 @@ class Index:
             hit = np.flatnonzero((hashes[np.minimum(lo, len(hashes) - 1)] == h) & (owner[: len(h)] == owner[size - 1 :]))
             lo = lo[hit]
             many = np.searchsorted(hashes, h[hit], side="right") - lo
-            # document by document, so that what one text shares with all items is held at a time
-            turns = np.flatnonzero(np.diff(owner[hit])) + 1
-            for mine in np.split(np.arange(len(hit)), turns):
-                if not len(mine):
-                    continue
-                doc = int(owner[hit[mine[0]]])
-                n = many[mine]
-                row = np.repeat(lo[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                start = np.repeat(hit[mine] - int(ends[doc]) + len(coded[doc]), n)
-                order = np.argsort(of[row], kind="stable")
-                item, start, place = of[row][order], start[order], at[row][order]
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(item)) + 1, [len(item)]])
-                k, seeds = item[cut[:-1]], np.diff(cut)
+            if not len(hit):
+                continue
+            # whole documents in lots of some LOT pairs, so that little more than what one text shares with all items is held at a time
+            of_doc = owner[hit]
+            lead = np.flatnonzero(np.diff(of_doc, prepend=-1))
+            lot = (np.cumsum(np.add.reduceat(many, lead)) - 1) // LOT
+            bounds = [*lead[np.flatnonzero(np.diff(lot, prepend=-1))].tolist(), len(hit)]
+            for x, y in zip(bounds, bounds[1:]):
+                n = many[x:y]
+                row = np.repeat(lo[x:y] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                doc = np.repeat(of_doc[x:y], n)
+                pair = doc * len(self.items) + of[row]
+                order = np.argsort(pair, kind="stable")
+                cut = np.flatnonzero(np.diff(pair[order], prepend=-1))
+                seeds = np.diff(np.append(cut, len(pair)))
+                doc, k = np.divmod(pair[order][cut], len(self.items))
                 # even apart, fewer seeds cannot cover enough
-                able = np.maximum(size + seeds - 1, size * seeds) >= least * lengths[k]
-                for j in np.flatnonzero(able).tolist():
-                    tiles = tile(coded[doc], self.items[k[j]], list(zip(start[cut[j] : cut[j + 1]].tolist(), place[cut[j] : cut[j + 1]].tolist())), size)
+                able = np.flatnonzero(np.maximum(size + seeds - 1, size * seeds) >= least * lengths[k])
+                start, place = np.repeat(hit[x:y], n), at[row]
+                for j in able.tolist():
+                    own, d = order[cut[j] : cut[j] + seeds[j]], int(doc[j])
+                    begin = int(ends[d]) - len(coded[d])
+                    tiles = tile(coded[d], self.items[k[j]], list(zip((start[own] - begin).tolist(), place[own].tolist())), size)
                     covered = sum(n for n, _, _ in tiles)
                     if covered >= least * lengths[k[j]]:
-                        out[doc].append((int(k[j]), int(lengths[k[j]]), covered, len(tiles)))
+                        out[d].append((int(k[j]), int(lengths[k[j]]), covered, len(tiles)))
         return out
 
 
