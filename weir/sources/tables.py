@@ -147,11 +147,12 @@ class Catalog:
             raise ValueError(f"schema {name} exists")
         self._fs.mkdirs(at)
 
-    def drop_schema(self, name: str, *, if_exists: bool = False, cascade: bool = False) -> None:
+    def drop_schema(self, name: str, *, if_exists: bool = False) -> None:
+        """Tables are named in one space, so a schema is never in use."""
         at = self._path(f"{self.root}/_schemas/{name}")
         if not self._fs.exists(at) and not if_exists:
             raise ValueError(f"schema {name} does not exist")
-        self._fs.delete(at, cascade or True)
+        self._fs.delete(at, True)
 
     def schemas(self) -> list[str]:
         return self._names(f"{self.root}/_schemas")
@@ -198,13 +199,10 @@ class Catalog:
             options["required"] = [c for c in options.get("required", []) if c != column]
         if "kind" in change:
             wide = StructType.fromDDL(f"`{column}` {change['kind']}")[0].dataType
-            stored = {**options.get("stored_as", {})}
-            stored.setdefault(column, next(f.dataType.simpleString() for f in schema if f.name == column))
-            options["stored_as"] = stored
             schema = StructType([StructField(f.name, wide if f.name == column else f.dataType, f.nullable) for f in schema])
-            # files of the narrow type are written anew, so all are read alike
+            # files of the narrow type are written anew, under the columns' names of now, so all are read alike
             df = self.read(name).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
-            options.pop("stored_as")
+            options.pop("read_as", None)
             return self._commit(name, m["version"], schema, self._data(name, df, options), options)
         return self._commit(name, m["version"], schema, m["parts"], options)
 
