@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from weir.llm import tokens
 from weir.llm.tokens import Encoder, frame, op6_tokens, pack, read_frame, read_from, read_tokens, unpack, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -99,3 +101,58 @@ def test_awkward(awkward, on_table):
 
 def test_empty(nothing, on_table):
     assert len(on_table(op6_tokens, nothing)) == 0
+
+
+def held(run):
+    """What ``run`` returns, and the most bytes that Python and NumPy held meanwhile."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+#: Some 8 MB in texts of 4 kB: few distinct chunks, so what is held is arrays over the batch.
+LARGE = [f"{i} " + "some words, and more of them. " * 140 for i in range(2000)]
+
+
+def test_encoding_holds_few_arrays_over_its_texts():
+    e, column = Encoder(PATH), pa.array(LARGE)
+    (ids, sizes), most = held(lambda: e.encode(column))
+    n_bytes = sum(map(len, LARGE))
+    assert most < 16 * n_bytes, most / n_bytes
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])][::400] == plain(LARGE[::400])
+
+
+def test_large_batches_are_framed_a_span_at_a_time(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(LARGE)), pa.int64()), "text": pa.array(LARGE)})
+    monkeypatch.setattr(tokens, "FRAME", 100_000)
+    whole = list(tokens.frames_of([batch.slice(i, 300) for i in range(0, len(LARGE), 300)], Encoder(PATH), 0, 0))
+    monkeypatch.setattr(tokens, "SPAN", 1 << 18)
+    e, rows = Encoder(PATH), []
+
+    def run():
+        for r in tokens.frames_of([batch], e, 0, 0):
+            rows.append(r)
+
+    _, most = held(run)
+    assert most < 3 * batch.nbytes, most / batch.nbytes
+    assert len(rows) > 10 and pa.Table.from_batches(rows) == pa.Table.from_batches(whole)
+
+
+@pytest.mark.parametrize("most", [1, 4, 7, 100])
+def test_spans_hold_every_row_once(most):
+    texts = pa.array(["ab", None, "", "abcdefgh", "éé", "a", "abc", ""])
+    cuts = list(tokens.spans(texts, most))
+    assert [a for a, _ in cuts] == [0, *(z for _, z in cuts)][:-1] and cuts[-1][1] == len(texts)
+    assert all(z - a == 1 or sum(len((x or "").encode()) for x in texts[a:z].to_pylist()) <= most for a, z in cuts)
+    assert not list(tokens.spans(texts[:0], most))
+
+
+def test_chunks_that_are_not_kept_leave_nothing():
+    e, rows = Encoder(PATH), ["one two " + "x" * 90, "a\n\n\nb  \n c\n"]
+    assert encoded(e, rows) == plain(rows)
+    before = e.n_codes, e.n_ids
+    for _ in range(3):
+        assert encoded(e, rows) == plain(rows)
+    assert (e.n_codes, e.n_ids) == before == (len(e.code), int(e.size[: e.n_codes].sum()))

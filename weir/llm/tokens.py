@@ -13,10 +13,12 @@ Tokenising. A pretoken of the byte-level vocabulary never runs on from a
 character that isn't white space into a space, nor from a letter into a mark or
 a line's end, nor over a line's end between other characters and a letter. So a
 text whose spaces all follow such a character is the concatenation of the
-chunks that begin at these places. A batch of texts is cut into chunks and these
-are numbered by Arrow over one buffer; distinct chunks that are new are encoded,
-all others are known by number, and the batch's ids are one gather from the ids
-of the known chunks. Other texts go to the tokenizer whole, as do all texts of a
+chunks that begin at these places. A span of texts, a few megabytes of a batch
+or one longer text, is cut into chunks and these are numbered by Arrow over one
+buffer; distinct chunks that are new are encoded, all others are known by
+number, and the span's ids are gathered from the ids of the known chunks. So a
+worker holds the known chunks and the arrays of one span, however large Spark's
+batches are. Other texts go to the tokenizer whole, as do all texts of a
 vocabulary by which a probe comes out otherwise. Special tokens in a text are what the tokenizer makes
 of them; ``special_as_text`` makes them ordinary text.
 
@@ -33,10 +35,12 @@ import os
 import string
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +50,8 @@ from .common import partitions, stage, text_batches
 BLOCK = 128
 #: Ids of a frame, after which the document at hand is its last.
 FRAME = 1_000_000
+#: Bytes of text whose chunks are numbered and gathered at once; a longer text goes alone.
+SPAN = 4 << 20
 WIDTHS = np.array([0, 64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
 COUNTS = np.array([240, 1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
 ESCAPE = 1
@@ -199,8 +205,10 @@ class Encoder:
     #: Known chunks, and their ids, after which a worker begins anew.
     KEEP, KEEP_IDS = 900_000, 8_000_000
     LONGEST = 48
-    #: Chunks that are encoded as one text.
-    LOT = 256
+    #: Chunks that are encoded as one text, and texts that the library holds the tokens of at once.
+    LOT, TEXTS = 256, 64
+    #: Chunks whose ids are gathered at once.
+    GATHER = 1 << 17
 
     def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -232,7 +240,7 @@ class Encoder:
         self.ids, self.n_codes, self.n_ids = np.zeros(1 << 18, np.uint32), 0, 0
 
     def plain(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [x.ids for i in range(0, len(texts), self.TEXTS) for x in self.tokenizer.encode_batch_fast(texts[i : i + self.TEXTS], add_special_tokens=False)]
 
     def _side_by_side(self, chunks: list[bytes], line: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """How many ids each chunk has, and the ids, of chunks encoded as one text, each followed by ``line``."""
@@ -283,6 +291,18 @@ class Encoder:
         codes[order] = first + np.arange(n)
         return codes.tolist()
 
+    def _begins(self, flat: np.ndarray, data: bytes, at: np.ndarray) -> np.ndarray:
+        """The bytes of ``flat`` that a chunk begins at, and its end: every text (from ``at``) and space, where a letter meets a mark or a line's end, and about a line's end amid text."""
+        begins = flat == 32
+        if not any(x in data for x in self.special):
+            line, letter, shown = flat == 10, _IS_LETTER[flat], _IS_SHOWN[flat]
+            begins[1:] |= letter[:-1] & (_IS_MARK[flat[1:]] | line[1:])
+            amid = line[1:-1] & shown[:-2] & letter[2:]
+            begins[1:-1] |= amid
+            begins[2:] |= amid
+        begins[at] = True
+        return np.append(np.flatnonzero(begins), len(flat))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts (UTF-8 in a string or binary array; null is empty), and how many each text has."""
         n = len(texts)
@@ -293,34 +313,32 @@ class Encoder:
         column = texts.cast(pa.large_binary()).fill_null(b"")
         at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
         at, flat = at - at[0], np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-        # a chunk begins at every text and space, where a letter meets a mark or a line's end, and about a line's end amid text
-        begins, full = flat == 32, np.flatnonzero(np.diff(at))
-        data = flat.tobytes()
-        if not any(x in data for x in self.special):
-            line, letter, shown = flat == 10, _IS_LETTER[flat], _IS_SHOWN[flat]
-            begins[1:] |= letter[:-1] & (_IS_MARK[flat[1:]] | line[1:])
-            amid = line[1:-1] & shown[:-2] & letter[2:]
-            begins[1:-1] |= amid
-            begins[2:] |= amid
-        begins[at[full]] = True
-        begins = np.flatnonzero(begins)
-        first = np.searchsorted(begins, at[full])
+        full, data = np.flatnonzero(np.diff(at)), flat.tobytes()
         if not len(full):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        edges = np.concatenate([begins, [len(flat)]])
+        edges = self._begins(flat, data, at[full])
+        begins = edges[:-1]
+        first = np.searchsorted(begins, at[full])
         chunks = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        del data
         held, known = chunks.dictionary.buffers()[1:]
-        edges = np.frombuffer(held, np.int64)[: len(chunks.dictionary) + 1].tolist()
+        held = np.frombuffer(held, np.int64)[: len(chunks.dictionary) + 1].tolist()
         known = known.to_pybytes()
-        distinct = [known[a:z] for a, z in zip(edges, edges[1:])]
+        distinct = [known[a:z] for a, z in zip(held, held[1:])]
         if len(self.code) > self.KEEP or self.n_ids > self.KEEP_IDS:
             self.forget()
         new = [x for x in distinct if x not in self.code]
+        passing = [x for x in new if len(x) > self.LONGEST or b"\n" in x]
+        if passing:
+            new = [x for x in new if not (len(x) > self.LONGEST or b"\n" in x)]
         self.code.update(zip(new, self._learn(new)))
+        # behind the known chunks stand, for this call, those that are not kept
+        n_codes, n_ids = self.n_codes, self.n_ids
+        self.code.update(zip(passing, self._learn(passing)))
         codes = np.fromiter(map(self.code.__getitem__, distinct), np.int64, len(distinct))[chunks.indices.to_numpy()]
-        for x in new:
-            if len(x) > self.LONGEST or b"\n" in x:
-                del self.code[x]
+        for x in passing:
+            del self.code[x]
+        del chunks, held, known, distinct, new, passing
         # a text goes whole if what must not be followed by a space is
         amid = self.open[codes]
         amid[:-1] &= flat[begins[1:]] == 32
@@ -335,8 +353,15 @@ class Encoder:
                 start[first[t]], size[first[t]] = s, k
         sizes = np.zeros(n, np.int64)
         sizes[full] = np.add.reduceat(size, first)
-        total = int(size.sum())
-        out = self.ids[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)]
+        out, done = np.empty(int(sizes.sum()), np.uint32), 0
+        for i in range(0, len(codes), self.GATHER):
+            s, k = start[i : i + self.GATHER], size[i : i + self.GATHER]
+            upto = np.cumsum(k)
+            own = np.repeat(s - (upto - k), k)
+            own += np.arange(len(own))
+            out[done : done + len(own)] = self.ids[own]
+            done += len(own)
+        self.n_codes, self.n_ids = n_codes, n_ids
         return out, sizes
 
     def _whole(self, texts: list[str]) -> list[tuple[int, int]]:
@@ -360,33 +385,40 @@ def encoder_for(path: str, special_as_text: bool) -> Encoder:
     return _HELD[key]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, to: str | None = None, *, end_id: int = 0, special_as_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise ``docs`` by the file ``tokenizer`` into frames in ascending id order, in Parquet files under ``to`` or in the scratch folder; the table of frames, read back."""
-    spark = docs.sparkSession
-    # the more rows, the fewer chunks that are new to a batch; Spark bounds a batch's bytes
-    text_batches(spark, 6000)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text")
-
-    def run(batches):
-        encoder, part = encoder_for(tokenizer, special_as_text), TaskContext.get().partitionId()
-        first, no, ids, lengths, data, held = 0, 0, [], [], [], 0
-
-        def flush():
-            nonlocal first, no, held
-            flat = np.concatenate(data).astype(np.uint64)
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "frame": pa.array([no], pa.int32()), "first": pa.array([first], pa.int64()), "ids": pa.array([len(flat)], pa.int64()), "data": pa.array([frame(ids, lengths, flat)], pa.binary())})
-            first, no, held = first + len(flat), no + 1, 0
-            ids.clear(), lengths.clear(), data.clear()
-            return row
-
-        for b in batches:
-            found, sizes = encoder.encode(b.column(1))
-            n, own, sizes = len(sizes), b.column(0).to_pylist(), sizes + 1
+def spans(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold up to ``most`` bytes, or one longer text; together all rows."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(ends):
+        before = int(ends[a - 1]) if a else 0
+        z = max(a + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield a, z
+        a = z
+
+
+def frames_of(batches: Iterable[pa.RecordBatch], encoder: Encoder, part: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, frame, first, ids, data) of the documents (id, text) of ``batches``, in their order."""
+    first, no, ids, lengths, data, held = 0, 0, [], [], [], 0
+
+    def flush():
+        nonlocal first, no, held
+        flat = np.concatenate(data).astype(np.uint64)
+        data.clear()
+        row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "frame": pa.array([no], pa.int32()), "first": pa.array([first], pa.int64()), "ids": pa.array([len(flat)], pa.int64()), "data": pa.array([frame(ids, lengths, flat)], pa.binary())})
+        first, no, held = first + len(flat), no + 1, 0
+        ids.clear(), lengths.clear()
+        return row
+
+    for b in batches:
+        for low, high in spans(b.column(1), SPAN):
+            found, sizes = encoder.encode(b.column(1).slice(low, high - low))
+            n, own, sizes = len(sizes), b.column(0).slice(low, high - low).to_pylist(), sizes + 1
             # every document's ids, then its end
             ends = np.cumsum(sizes)
-            flat = np.full(len(found) + n, end_id, dtype=np.uint32)
-            flat[np.arange(len(found)) + np.repeat(np.arange(n), sizes - 1)] = found
+            flat, is_end = np.full(len(found) + n, end_id, dtype=np.uint32), np.zeros(len(found) + n, dtype=bool)
+            is_end[ends - 1] = True
+            flat[~is_end] = found
+            del found, is_end
             a = 0
             while a < n:
                 # the documents up to the one that fills the frame
@@ -399,8 +431,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str | None = None, *, end_
                 a = z
                 if held >= FRAME:
                     yield flush()
-        if ids:
-            yield flush()
+        del b
+    if ids:
+        yield flush()
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, to: str | None = None, *, end_id: int = 0, special_as_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Tokenise ``docs`` by the file ``tokenizer`` into frames in ascending id order, in Parquet files under ``to`` or in the scratch folder; the table of frames, read back."""
+    spark = docs.sparkSession
+    # rows enough to fill a span with short texts; Spark bounds a batch's bytes
+    text_batches(spark, 6000)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text")
+
+    def run(batches):
+        yield from frames_of(batches, encoder_for(tokenizer, special_as_text), TaskContext.get().partitionId(), end_id)
 
     frames = rows.mapInArrow(run, "part int, frame int, first long, ids long, data binary")
     if to is None:
@@ -414,8 +459,10 @@ def read_tokens(frames: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part, first, data in zip(*(b.column(i).to_pylist() for i in range(3))):
-                docs, lengths, ids = read_frame(data)
+            # a frame at a time
+            for part, first, data in zip(*(b.column(i) for i in range(3))):
+                part, first = part.as_py(), first.as_py()
+                docs, lengths, ids = read_frame(data.as_py())
                 flat, ends = ids.astype("<u4"), np.cumsum(lengths, dtype=np.int64)
                 starts = ends - lengths
                 crc = [zlib.crc32(flat[a:z]) for a, z in zip(starts, ends)]
