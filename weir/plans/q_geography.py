@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from ..session import views
 from .catalogue import query
-from .q_sql import _run
+from .dialect import Session
 
 #: Squares by their corner (x, y) and width w, as another engine says them.
 _BOX = "SELECT c_custkey, c_custkey % 300 - 150 AS x, c_custkey % 140 - 70 AS y, c_custkey % 7 + 1 AS w FROM customer"
@@ -14,6 +15,11 @@ _SHAPES = """(SELECT c_custkey, x, y, w, FORMAT('POLYGON((%d %d, %d %d, %d %d, %
     (SELECT c_custkey, MOD(c_custkey, 300) - 150 AS x, MOD(c_custkey, 140) - 70 AS y, MOD(c_custkey, 7) + 1 AS w FROM customer))"""
 
 
+def _run(spark, d, text, *names):
+    views(spark, d, list(names), spread=True)
+    return Session(spark).query(text)
+
+
 @query(
     f"""SELECT c_custkey, 'POLYGON((' || {_RING} || '))' AS t, 'ST_Polygon' AS ty, CAST(2 AS BIGINT) AS di, CAST(1 AS BIGINT) AS ng, CAST(5 AS BIGINT) AS np, false AS em, false AS co, 'LINESTRING(' || {_RING} || ')' AS ex, CAST(0 AS BIGINT) AS ir, true AS ri, false AS cl, 'POINT(' || (x + w) || ' ' || (y + w) || ')' AS p3,
        'POINT(' || x || ' ' || y || ')' AS st, 'POINT(' || x || ' ' || (y + w) || ')' AS en, {{'xmin': x::DOUBLE, 'ymin': y::DOUBLE, 'xmax': (x + w)::DOUBLE, 'ymax': (y + w)::DOUBLE}} AS bb, CAST(2 AS BIGINT) AS du, CAST(2 AS BIGINT) AS bo, x::DOUBLE AS px, y::DOUBLE AS py, 'POLYGON((' || {_RING} || '))' AS mp,

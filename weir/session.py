@@ -47,7 +47,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
 
 
-def views(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
-    """Temporary views of the tables."""
+def views(spark: SparkSession, sf_dir: str, names: list[str] | None = None, spread: bool = False) -> None:
+    """Temporary views of the tables; ``spread`` deals their rows to all cores, for queries whose rows cost far more than to move them."""
     for name in names or TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        df = table(spark, sf_dir, name)
+        (df.repartition(spark.sparkContext.defaultParallelism) if spread else df).createOrReplaceTempView(name)
