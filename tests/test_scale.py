@@ -1,5 +1,7 @@
 """What keeps queries whole and quick on larger tables."""
 
+import json
+
 import pyarrow as pa
 
 from weir.functions import shapes, udfs
@@ -31,3 +33,22 @@ def test_places_on_arcs():
     n = shapes.cross(a, b)
     assert all(shapes._on(p, a, b, n) for p in (a, b, shapes.vector((0, 12.5))))
     assert not any(shapes._on(shapes.vector(p), a, b, n) for p in ((0, 9.9), (1e-9, 15), (40, 15), (180, -15)))
+
+
+def test_format_of_plain_values():
+    fmt = "%05d|%-4s|%8.2f|%5.1e|%t|%T|%i%%|%s"
+    rows = [(7, "x", 0.125, 1e10, True, 'a"b', -3, 1.5), (-42, "", -0.001, float("nan"), False, "é", 0, float("inf")), (None, "y", 1.0, 2.0, True, "", 1, 2.0), (1, "y", 1.0, 2.0, None, None, 1, 2.0)]
+    kinds = ["bigint", "string", "double", "double", "boolean", "string", "int", "double"]
+    words = [[{float("inf"): "Infinity"}.get(v, v) if v == v else "NaN" for v in r] for r in rows]
+    want = [udfs.format_text(fmt, [json.dumps({"v": v, "k": k}) for v, k in zip(r, kinds)]) for r in words]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string(), pa.int32(), pa.float64()))]
+    n = len(rows)
+    assert udfs._formatted(pa.array([fmt] * n), pa.array([",".join(kinds)] * n), *columns).to_pylist() == want and want[2] is None
+    for f in ("%'d", "%*d"):  # what is left to the general form
+        args = [pa.array([1234567, 5])] * (1 + ("*" in f))
+        assert udfs._formatted(pa.array([f] * 2), pa.array([",".join(["bigint"] * len(args))] * 2), *args).to_pylist() == [udfs.format_text(f, ['{"v":%d,"k":"bigint"}' % v] * len(args)) for v in (1234567, 5)]
+
+
+def test_format_crosses_as_json_only_where_it_must(spark, sf):
+    plan = QUERIES["q_sql_format"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "weir_format_plain" in plan and "weir_format(" not in plan and "to_json" not in plan

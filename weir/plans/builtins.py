@@ -14,7 +14,7 @@ from decimal import Decimal
 
 from pyspark.sql import SparkSession
 
-from ..functions import shapes, temporal
+from ..functions import shapes, temporal, udfs
 
 Template = Callable[[list[str]], str | None]
 
@@ -163,9 +163,14 @@ def _lax_bool(a: list[str]) -> str:
 
 
 def _format(a: list[str]) -> str:
-    """FORMAT: values cross to the UDF as JSON with their types."""
+    """FORMAT: numbers and texts cross to the UDF as they are, other values as JSON with their types."""
     typed = (f"to_json(named_struct('v', {x}, 'k', typeof({x})), map('ignoreNullFields', 'false'))" for x in a[1:])
-    return f"weir_format({a[0]}, array({', '.join(typed)}))"
+    rest = f"weir_format({a[0]}, array({', '.join(typed)}))"
+    if len(a) == 1:
+        return rest
+    kinds, known = [f"typeof({x})" for x in a[1:]], ", ".join(map(_quoted, udfs.PLAIN))
+    # types are constants, so one branch is left before any row is read
+    return f"CASE WHEN {' AND '.join(f'{k} IN ({known})' for k in kinds)} THEN weir_format_plain({a[0]}, concat_ws(',', {', '.join(kinds)}), {', '.join(a[1:])}) ELSE {rest} END"
 
 
 def _host(x: str) -> str:
@@ -306,8 +311,6 @@ def spark_text(name: str, args: list[str]) -> str | None:
 
 def register(spark: SparkSession) -> None:
     """The functions that are UDFs, once for each session."""
-    from ..functions import udfs
-
     if spark.conf.get("weir.functions", "") != "registered":
         for name, f in (udfs.NAMED | shapes.named()).items():
             spark.udf.register(name, f)
