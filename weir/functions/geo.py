@@ -163,13 +163,17 @@ def dwithin_join(a: DataFrame, b: DataFrame, a_point: str, b_point: str, metres:
 
     Cells are squares of the chord's unit cube at least as wide as the
     distance, so pairs within it lie in cells that touch; no cell nears a pole.
+    Places are compared once however many rows share them: rows meet by the
+    pairs of near places, each of which deals its rows to a task of its own.
     """
     step = metres / RADIUS
     cell = lambda p: [F.floor(v / step).cast("long") for v in _xyz(F.col(p))]
     near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    x, y, z = cell(a_point)
-    left = a.withColumns({"_x": x, "_y": y, "_z": z})
-    x, y, z = cell(b_point)
-    right = b.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).withColumn("_dz", F.explode(near))
-    right = right.withColumns({"_x": x + F.col("_dx"), "_y": y + F.col("_dy"), "_z": z + F.col("_dz")}).drop("_dx", "_dy", "_dz")
-    return left.join(right, ["_x", "_y", "_z"]).where(st_dwithin(F.col(a_point), F.col(b_point), metres)).drop("_x", "_y", "_z")
+    x, y, z = cell("_p")
+    left = a.select(F.col(a_point).alias("_p")).distinct().withColumns({"_x": x, "_y": y, "_z": z})
+    x, y, z = cell("_q")
+    right = b.select(F.col(b_point).alias("_q")).distinct().withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).withColumn("_dz", F.explode(near))
+    right = right.withColumns({"_x": x + F.col("_dx"), "_y": y + F.col("_dy"), "_z": z + F.col("_dz")})
+    pairs = left.join(right, ["_x", "_y", "_z"]).where(st_dwithin(F.col("_p"), F.col("_q"), metres)).select("_p", "_q")
+    met = a.join(pairs, F.col(a_point) == F.col("_p")).drop("_p")
+    return met.join(b, F.col(b_point) == F.col("_q")).drop("_q")
