@@ -80,3 +80,26 @@ def test_places_of_many_rows_are_compared_once(spark):
     assert near.columns == ["a", "p", "b", "q"]
     assert sorted((r["a"], r["b"]) for r in near.collect()) == [(x, y) for x in range(400) for y in range(290) if abs(x % 4 - y % 3) <= 1]
     assert near._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 2
+
+
+def test_nearest_of_odd_vectors(spark):
+    from weir.operators.vectors import nearest
+
+    vectors = [[float(i % 7), float(i % 5), 1.0] for i in range(300)]
+    vectors[11], vectors[12], vectors[13] = None, [1.0, None, 2.0], [1.0, 2.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "i long, v array<float>").repartition(3)
+    have: dict = {}
+    for r in nearest(df, df.where("i IN (0, 9, 11, 13)"), "i", "v", 6).collect():
+        have.setdefault(r["q"], []).append((r["d"] is not None, r["d"], r["i"]))
+
+    def gap(u, v):
+        whole = u is not None and v is not None and None not in u and None not in v and len(u) == len(v)
+        return sum((x - y) ** 2 for x, y in zip(u, v)) ** 0.5 if whole else None
+
+    for q in (0, 9, 11, 13):
+        want = sorted(((d := gap(vectors[q], v)) is not None, d or 0.0, i) for i, v in enumerate(vectors))[:6]
+        assert sorted((known, d or 0.0, i) for known, d, i in have[q]) == want
+
+
+def test_distances_are_by_blocks(spark, sf):
+    assert "MapInArrow" in QUERIES["q_vector_distances"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()

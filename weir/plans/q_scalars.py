@@ -141,12 +141,11 @@ def q_net_ip(spark, d):
 @query("SELECT q.vec_id AS q, e.vec_id, round(1 - list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 6) AS c, round(list_distance(e.v, q.v), 5) AS e FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) e, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.v, q.v), e.vec_id) <= 10")
 def q_vector_distances(spark, d):
     """The ten nearest of all rows to each row whose id is divisible by 50."""
-    from ..session import views
-    from .dialect import Session
+    from ..operators.vectors import nearest
 
-    views(spark, d, ["embeddings"])
-    return Session(spark).query("""SELECT q.vec_id AS q, e.vec_id AS vec_id, ROUND(COSINE_DISTANCE(e.embedding, q.embedding), 6) AS c, ROUND(EUCLIDEAN_DISTANCE(e.embedding, q.embedding), 5) AS e
-        FROM embeddings e CROSS JOIN (SELECT vec_id, embedding FROM embeddings WHERE MOD(vec_id, 50) = 0) q QUALIFY ROW_NUMBER() OVER (PARTITION BY q.vec_id ORDER BY EUCLIDEAN_DISTANCE(e.embedding, q.embedding), e.vec_id) <= 10""")
+    e = table(spark, d, "embeddings")
+    near = nearest(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+    return near.select("q", "vec_id", F.round(1 - F.col("dot") / (F.sqrt("ee") * F.sqrt("qq")), 6).alias("c"), F.round("d", 5).alias("e"))
 
 
 @query("SELECT c_custkey, round(2 * 6371010 * asin(sqrt(sin(radians(lat - 10) / 2) ^ 2 + cos(radians(lat)) * cos(radians(10)) * sin(radians(lng - 20) / 2) ^ 2)), 3) AS m FROM (SELECT c_custkey, (c_custkey % 360 - 180)::DOUBLE AS lng, (c_custkey % 170 - 85)::DOUBLE AS lat FROM customer)")
