@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weir.functions import aggregates as A
-from weir.functions import geo, shapes, udfs
+from weir.functions import geo, scalar, shapes, udfs
 from weir.plans.catalogue import QUERIES
 
 
@@ -103,3 +103,15 @@ def test_nearest_of_odd_vectors(spark):
 
 def test_distances_are_by_blocks(spark, sf):
     assert "MapInArrow" in QUERIES["q_vector_distances"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_texts_are_folded_a_span_at_a_time(spark, monkeypatch):
+    sizes = []
+    once = udfs._once
+    monkeypatch.setattr(udfs, "_once", lambda values, *rest: sizes.append(values[0].nbytes) or once(values, *rest))
+    udfs._mapped((pa.array([str(i) * 10_000 for i in range(2_000)]),), pa.int64(), len, None)
+    assert len(sizes) > 1 and max(sizes) < 3 * udfs._SPAN
+    rows = [("LICENSE",), ("liﬁ ＬＩcense é",), ("licenséx",), ("ſtraße LICENſE",), ("nothing",), (None,)]
+    df = spark.createDataFrame(rows, "t string").select("t", scalar.contains_substr("t", "License").alias("h"))
+    assert [r["h"] for r in df.collect()] == [None if t is None else udfs._fold("License") in udfs._fold(t) for (t,) in rows]
+    assert "weir_fold" not in df._jdf.queryExecution().optimizedPlan().toString()

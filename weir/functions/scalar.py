@@ -408,10 +408,12 @@ def sha512(x) -> Column:
 
 
 def contains_substr(x, sub: str) -> Column:
-    """Without regard to case and to forms that Unicode holds equal (NFKC, folded)."""
+    """Without regard to case and to forms that Unicode holds equal (NFKC, folded); ASCII texts don't leave the JVM, and only the answer comes back of others."""
     from .udfs import NAMED, _fold
 
-    return F.contains(NAMED["weir_fold"](col(x)), F.lit(_fold(sub)))
+    x, part = col(x), _fold(sub)
+    other = x.rlike(r"[^\x00-\x7F]")
+    return F.when(other, NAMED["weir_holds"](F.when(other, x), F.lit(part))).otherwise(F.contains(F.lower(x), F.lit(part)))
 
 
 # arrays

@@ -212,7 +212,7 @@ FUNCTIONS: dict[str, Template] = {
     "REGEXP_INSTR": _form("CAST(regexp_instr({0}, {1}) AS BIGINT)"), "FROM_HEX": _form("unhex(CASE WHEN length({0}) % 2 = 1 THEN concat('0', {0}) ELSE {0} END)"),
     "LENGTH": _form("CAST(length({0}) AS BIGINT)"), "CHAR_LENGTH": _form("CAST(char_length({0}) AS BIGINT)"), "CHARACTER_LENGTH": _form("CAST(char_length({0}) AS BIGINT)"),
     "BYTE_LENGTH": _form("CAST(octet_length({0}) AS BIGINT)"), "OCTET_LENGTH": _form("CAST(octet_length({0}) AS BIGINT)"),
-    "CONTAINS_SUBSTR": _form("contains(weir_fold(CAST({0} AS STRING)), weir_fold({1}))"), "TO_BASE64": _form("base64(CAST({0} AS BINARY))"),
+    "CONTAINS_SUBSTR": _form("weir_holds(CAST({0} AS STRING), weir_fold({1}))"), "TO_BASE64": _form("base64(CAST({0} AS BINARY))"),
     "NORMALIZE": lambda a: f"weir_normalize({a[0]}, {_quoted(a[1].strip(chr(39))) if len(a) > 1 else _quoted('NFC')})",
     "NORMALIZE_AND_CASEFOLD": lambda a: f"weir_casefold({a[0]}, {_quoted(a[1].strip(chr(39))) if len(a) > 1 else _quoted('NFC')})",
     "TO_BASE32": _form("weir_to_base32(CAST({0} AS BINARY))"), "FROM_BASE32": _form("weir_from_base32({0})"), "FARM_FINGERPRINT": _form("weir_farm(CAST({0} AS BINARY))"),
